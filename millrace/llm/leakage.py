@@ -13,21 +13,22 @@ from millrace.llm.folding import BREAK, DROP, folded_codes, repaired, words
 from millrace.tables import written
 
 #: Letters in a q-gram; spaces don't count, so broken lines and words don't matter.
-Q = 16
+Q = 8
 #: Diagonals in a band; neighbouring bands overlap by half.
 BAND = 64
-#: A run of common q-grams must be so long for the text under it to be looked at: five words without an edit have more.
-LEAST_RUN = 8
+#: Common q-grams that a band must hold. Words wholly in runs of them: so many in a stretch of a band with no more than so many words between runs, and in all
+#: for a document and an item to be aligned.
+LEAST_BAND, BAND_WORDS, STRETCH_GAP, PAIR_WORDS = 8, 6, 8, 18
+#: Counters of bands, by hash (a shared one only lets more through), and hits looked at in one go.
+COUNTERS, SLICE = 1 << 22, 2_000_000
 #: Words of an item that a document must repeat, and words that one passage must have to count.
 LEAST_WORDS, LEAST_PASSAGE = 25, 8
 #: Between passages no longer than LEAST_WORDS: runs of FORMULA words that stand alone in this share of the documents (and in 5) are formulas.
 FORMULA, FORMULA_SHARE, FORMULA_DOCS = (7, 20), 0.0005, 5
-#: Word edits that may cut up the repeated words; each costs a word and its q-grams.
-EDIT_BUDGET, EDITED_LETTERS = 4, 8
 #: Items in one index; more of them go through the documents in several blocks.
 BLOCK = 20_000
 #: Characters folded at a time.
-CHUNK = 1_500_000
+CHUNK = 750_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,16 +74,12 @@ class ItemIndex:
         self.maybe[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         # word number of each letter, and the letter each word starts at
         self.starts = [np.cumsum([0, *map(len, w)]) for w in self.words]
-        # the fewest q-grams that LEAST_WORDS consecutive words keep under the edit budget
-        self.least, self.least_letters = [], []
-        for w, s in zip(self.words, self.starts, strict=True):
-            n = len(w)
-            m = int(min(s[LEAST_WORDS:] - s[: n + 1 - LEAST_WORDS])) if n >= LEAST_WORDS else 1 << 30
-            longest = max(map(len, w), default=1)
-            edited = EDIT_BUDGET * min(longest, EDITED_LETTERS)
-            self.least.append(max(m + 1 - Q - EDIT_BUDGET * (Q - 1) - edited, 2 * LEAST_RUN))
-            self.least_letters.append(m - edited)
-        self.least, self.least_letters = np.asarray(self.least), np.asarray(self.least_letters)
+        # per place in an item: the first word that starts there or later, and the words that end there or before
+        places = [np.arange(x[-1] + 1) for x in self.starts]
+        self.base = np.cumsum([0, *map(len, places)])
+        self.first_word = join([np.searchsorted(x, p, side="left") for x, p in zip(self.starts, places, strict=True)], np.int64)
+        self.last_word = join([np.searchsorted(x, p, side="right") - 1 for x, p in zip(self.starts, places, strict=True)], np.int64)
+        self.key = (self.item.astype(np.uint64) << np.uint64(36)) - self.at.astype(np.uint64)
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ``hashes`` that are q-grams of an item, and their numbers."""
@@ -146,7 +143,7 @@ def passages(item: list[str], doc: list[str], regions: list[tuple[int, int, int,
     for a, b, c, d in regions:
         a, b = max(0, a - 6), min(len(item), b + 7)
         c, d = max(0, c - 8), min(len(doc), d + 9)
-        pairs = aligned_words(item[a:b], doc[c:d], 0, max(8, abs((d - c) - (b - a)) + 4))
+        pairs = aligned_words(item[a:b], doc[c:d], 0, max(8, abs((d - c) - (b - a)) + 4) + BAND // 4)
         run: list[tuple[int, int]] = []
         for p in [*pairs, (1 << 30, 1 << 30)]:
             if run and (p[0] - run[-1][0] > 4 or p[1] - run[-1][1] > 24):
@@ -162,6 +159,13 @@ def passages(item: list[str], doc: list[str], regions: list[tuple[int, int, int,
     return [k[:3] for k in sorted(kept)]
 
 
+def _reached(group: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of intervals ordered by group and start: how far those before reach (far below 0 if a group starts), and how much each adds to them."""
+    lift = group.astype(np.int64) << 32
+    reach = np.append(-(1 << 31), np.maximum.accumulate(lift + end)[:-1])[: len(lift)] - lift
+    return reach, np.maximum(0, end - np.maximum(first, reach))
+
+
 class Scanner:
     """Candidates of one partition, and how often each item word stood in a short run alone."""
 
@@ -188,52 +192,40 @@ class Scanner:
         at, number = self.index.places(_qgrams(letters))
         if not len(at):
             return []
-        # runs of common q-grams, whatever item they are of
-        cut = np.flatnonzero(np.diff(at) != 1) + 1
-        begin, end = np.append(0, cut), np.append(cut, len(at))
-        long_ = (end - begin) >= LEAST_RUN
-        keep = np.repeat(long_, end - begin)
-        at, number = at[keep], number[keep]
-        if not len(at):
+        item, diagonal, place = self._dense(at, number, len(letters))
+        if not len(place):
             return []
         starts = np.append(0, bounds[:-1] + Q)
-        doc = np.searchsorted(starts, kept[at], side="right") - 1
-        # one row per (document, item, diagonal) hit
-        n = self.index.count[number]
-        first = np.repeat(self.index.start[number] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        item, place = self.index.item[first].astype(np.int64), self.index.at[first].astype(np.int64)
-        at, doc = np.repeat(at, n), np.repeat(doc, n)
-        order = np.lexsort((place, at - place, item, doc))
-        at, doc, item, place = at[order], doc[order], item[order], place[order]
-        diagonal = at - place
+        # the document of each letter, by number; the order is that of item, diagonal and place
+        doc = (np.searchsorted(starts, kept, side="right") - 1)[diagonal + place]
         # runs on one diagonal
-        new = np.ones(len(at), bool)
+        new = np.ones(len(place), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] - place[:-1] > Q)
         s = np.flatnonzero(new)
-        size = np.diff(np.append(s, len(at)))
+        size = np.diff(np.append(s, len(place)))
         r_doc, r_item, r_from, r_diag = doc[s], item[s], place[s], diagonal[s]
         r_to = place[s + size - 1] + Q
-        # the bands: shared q-grams of each (document, item, band), both bands that hold a diagonal
+        # the words of each run; then the different words of each stretch of runs, for both bands that hold a diagonal
+        w_from = self.index.first_word[self.index.base[r_item] + r_from]
+        w_to = self.index.last_word[self.index.base[r_item] + r_to]
+        ok = w_to > w_from
+        r_doc, r_item, r_from, r_to, r_diag, w_from, w_to = (x[ok] for x in (r_doc, r_item, r_from, r_to, r_diag, w_from, w_to))
         pair = r_doc * len(self.index.ids) + r_item
         band = np.floor_divide(r_diag, BAND // 2)
-        hits = np.zeros(len(s), np.int64)
+        hits = np.zeros(len(pair), np.int64)
         for shift in (0, -1):
             key = pair * (1 << 30) + np.floor_divide(band + shift, 2) * 2 - shift + (1 << 28)
-            _, inverse = np.unique(key, return_inverse=True)
-            total = np.bincount(inverse, size)[inverse].astype(np.int64)
-            hits = np.maximum(hits, total)
-        ok = hits >= LEAST_RUN
-        r_item, r_from, r_to, r_diag, pair, size = (x[ok] for x in (r_item, r_from, r_to, r_diag, pair, size))
-        # a pair stays if its bands together meet the edit-budget bound, in q-grams and in letters of the item that they cover
+            order = np.lexsort((w_from, key))
+            reach, new_words = _reached(np.cumsum(np.append(False, np.diff(key[order]) > 0)), w_from[order], w_to[order])
+            stretch = np.cumsum(w_from[order] - reach > STRETCH_GAP)
+            hits[order] = np.maximum(hits[order], np.bincount(stretch, new_words)[stretch].astype(np.int64))
+        ok = hits >= BAND_WORDS
+        r_item, r_from, r_to, r_diag, pair, w_from, w_to = (x[ok] for x in (r_item, r_from, r_to, r_diag, pair, w_from, w_to))
+        # a pair stays if its bands together hold enough different words of the item
         u, inverse = np.unique(pair, return_inverse=True)
-        of = u % len(self.index.ids)
-        total = np.bincount(inverse, size, len(u))
-        by_pair = np.lexsort((r_from, inverse))
-        lift = inverse[by_pair].astype(np.int64) << 32
-        reach = np.append(0, np.maximum.accumulate(lift + r_to[by_pair])[:-1])
-        new_letters = np.maximum(0, lift + r_to[by_pair] - np.maximum(lift + r_from[by_pair], reach))
-        letters_covered = np.bincount(inverse[by_pair], new_letters, len(u))
-        good = (total >= self.index.least[of]) & (letters_covered >= self.index.least_letters[of])
+        by_pair = np.lexsort((w_from, inverse))
+        _, new_words = _reached(inverse[by_pair], w_from[by_pair], w_to[by_pair])
+        good = np.bincount(inverse[by_pair], new_words, len(u)) >= PAIR_WORDS
         out, tokens = [], {}
         edges = np.append(0, np.cumsum(np.bincount(inverse, minlength=len(u))))
         alone = np.ones(len(u), bool)
@@ -250,6 +242,39 @@ class Scanner:
         self._count_alone(r_item[apart], r_from[apart], r_to[apart])
         return out
 
+    def _dense(self, at, number, letters):
+        """Item, diagonal and place per hit in a band of some hits, whatever document it is in, in order."""
+        index = self.index
+        n = index.count[number]
+        ends = np.cumsum(n)
+        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], SLICE), side="right"), len(at)))
+        edges[0] = 0
+        shift = np.uint64(64 - int(np.log2(COUNTERS)))
+        half = np.uint64(int(np.log2(BAND // 2)))
+        counters = np.zeros(COUNTERS, np.int32)
+
+        def slices():
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                m = n[i:j]
+                first = np.repeat(index.start[number[i:j]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                letter = np.repeat(at[i:j].astype(np.int64), m)
+                # item and half band in one number, spread; 2**32 keeps the diagonal above 0, neighbouring bands differ by _P
+                yield first, letter, ((index.key[first] + letter.view(np.uint64) + np.uint64(1 << 32)) >> half) * _P
+
+        slot = lambda x: (x >> shift).view(np.int64)
+        for _, _, key in slices():
+            counters += np.bincount(slot(key), minlength=COUNTERS).astype(np.int32)
+        most = int(index.at.max())
+        place_bits, diagonal_bits = most.bit_length(), (letters + most).bit_length()
+        out = []
+        for first, letter, key in slices():
+            own = counters[slot(key)]
+            ok = own + np.maximum(counters[slot(key - _P)], counters[slot(key + _P)]) >= LEAST_BAND
+            place = index.at[first[ok]].astype(np.int64)
+            out.append((((index.item[first[ok]].astype(np.int64) << diagonal_bits) + letter[ok] - place + most) << place_bits) + place)
+        out = np.sort(np.concatenate(out))
+        return out >> (diagonal_bits + place_bits), ((out >> place_bits) & ((1 << diagonal_bits) - 1)) - most, out & ((1 << place_bits) - 1)
+
     def _count_alone(self, item, first, last):
         """Counts, per item word, short runs that cover it, of pairs that share no more."""
         for k in np.unique(item).tolist():
@@ -276,10 +301,9 @@ class Scanner:
         order = np.argsort(first, kind="stable")
         regions: list[list[int]] = []
         for a, b, d in zip(first[order].tolist(), last[order].tolist(), diagonal[order].tolist(), strict=True):
-            wa, wb = int(np.searchsorted(starts, a, side="left")), int(np.searchsorted(starts, b, side="right")) - 1
-            da, db = int(np.searchsorted(doc_at, a + d, side="left")), int(np.searchsorted(doc_at, b + d, side="right")) - 1
-            if wb < wa or db < da:
-                continue
+            # the words that hold the first and the last letter, as words between edits may be short of whole q-grams
+            wa, wb = int(np.searchsorted(starts, a, side="right")) - 1, int(np.searchsorted(starts, b, side="left")) - 1
+            da, db = max(0, int(np.searchsorted(doc_at, a + d, side="right")) - 1), int(np.searchsorted(doc_at, b + d, side="left")) - 1
             for r in regions:  # the same band, a few words on
                 if abs(d - r[4]) <= BAND and wa - r[1] <= 12 and -4 <= da - r[3] <= 40:
                     r[1], r[3], r[4] = max(r[1], wb), max(r[3], db), d
@@ -356,8 +380,8 @@ def leaked_items(documents: DataFrame, eval_item: DataFrame, block: int = BLOCK)
     """Documents that repeat at least LEAST_WORDS words of an item in its order, in one passage or several of LEAST_PASSAGE words or more: doc_id, item_id, words, passages.
 
     Both texts are folded to letters and digits without case, accents, punctuation and spacing. The documents are read
-    once per ``block`` items: their q-grams are looked up in the items' index, counted in overlapping diagonal bands, and a (document, item) pair whose bands
-    hold as many as the q-gram lemma promises for LEAST_WORDS words under the edit budget is verified by banded alignment of its words. Words of
+    once per ``block`` items: their q-grams are looked up in the items' index, all counted in overlapping diagonal bands, and a (document, item) pair whose bands
+    hold stretches of words in common is verified by banded alignment of its words: runs of three words between edits still hold q-grams. Words of
     procedural formulas (short runs that stand alone in many documents, counted over all documents) count only inside a longer passage.
 
     Only the items are sent to the tasks, ``block`` of them at a time, and only candidates and counts per item word come back: nothing of the size of the

@@ -51,6 +51,21 @@ def test_passages_in_many_guises(spark):
     assert _found(spark, docs.items()) == {(i, 1) for i in docs}
 
 
+@pytest.mark.parametrize("step, n", [(4, 44), (4, 38), (5, 40), (5, 35)])
+def test_passages_with_every_fourth_or_fifth_word_changed(step, n):
+    """Runs of three or four common words of usual length, on items of the language of the texts."""
+    rng = random.Random(step * n)
+    common = "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    items = [(i, " ".join(rng.choices(common, k=90))) for i in range(20)]
+    scanner = leakage.Scanner(leakage.ItemIndex(items))
+    docs = []
+    for _, text in items:
+        part = text.split()[20 : 20 + n]
+        docs.append(" ".join(rng.choices(WORDS, k=50) + [w if i % step != step - 1 else rng.choice(WORDS) for i, w in enumerate(part)] + rng.choices(WORDS, k=50)))
+    got = {(d, i) for d, i, _ in scanner.chunk(list(range(len(docs))), docs)}
+    assert got == {(i, i) for i in range(len(docs))}
+
+
 def test_what_is_no_leak(spark):
     docs = {1: " ".join(ITEM[10:30]), 2: " ".join(reversed(ITEM)), 3: " ".join(_text(30, 500)), 4: "", 5: None, 6: " ".join(w for i, w in enumerate(ITEM) if i % 4 == 0), 7: "x" * 200_000}
     assert _found(spark, docs.items()) == set()
