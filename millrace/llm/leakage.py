@@ -94,45 +94,71 @@ class ItemIndex:
 
 def aligned_words(item: list[str], doc: list[str], diagonal: int, band: int) -> list[tuple[int, int]]:
     """Banded global-in-item, local-in-document alignment: the (item, document) places of equal words on the best path whose diagonal (document minus item place) stays within ``band`` of
-    ``diagonal``. A match gives 2, an edit costs 1."""
+    ``diagonal``. A match gives 2, an edit costs 1.
+
+    Words of the item are laid on the document's letters, so it doesn't matter where the document breaks them or runs them together; a
+    match starts where a word of the document starts or the item's word before matches, and ends likewise. The place is that of the word in which it starts."""
     if not item or not doc:
         return []
-    lo, n = diagonal - band, 2 * band + 1
-    score, back = [0] * n, []
+    letters = np.frombuffer("".join(doc).encode("utf-32-le"), np.uint32)
+    starts = np.cumsum([0, *map(len, doc)])
+    n = len(letters)
+    edge = np.zeros(n + 1, bool)
+    edge[starts] = True
+    of = np.cumsum(edge) - 1
+    of[-1] = len(doc)
+    # skipping from one letter to another costs the words that start between them
+    skipped = np.append(0, np.cumsum(edge[:-1]))
+    text = letters.tobytes().decode("utf-32-le")
+    found: dict[str, np.ndarray] = {}
+    for w in item:
+        if w not in found:
+            at, k = [], text.find(w)
+            while k >= 0:
+                at.append(k)
+                k = text.find(w, k + 1)
+            found[w] = np.array(at, np.int64)
+    none = np.array([], np.int64)
+    matches = []
+    for i, w in enumerate(item):
+        at = found[w]
+        if len(at):
+            begins, ends = edge[at], edge[at + len(w)]
+            if i and len(found[item[i - 1]]) and not begins.all():
+                begins = begins | np.isin(at, found[item[i - 1]] + len(item[i - 1]))
+            if i + 1 < len(item) and not ends.all():
+                ends = ends | np.isin(at + len(w), found[item[i + 1]])
+            at = at[begins & ends & (np.abs(of[at] - i - diagonal) <= band)]
+        matches.append(at if len(at) else none)
+    # per item word the scores at each letter, before and after skipping words of the document
+    score, rows = np.zeros(n + 1, np.int64), []
     best, best_at = 0, (-1, 0)
     for i, w in enumerate(item):
-        row, steps = [0] * n, bytearray(n)
-        left = -1
-        for k in range(n):
-            j = i + lo + k
-            if j < 0 or j >= len(doc):
-                left = -1
-                continue
-            s, step = (score[k] + 2, 1) if doc[j] == w else (score[k] - 1, 2)
-            if k + 1 < n and score[k + 1] - 1 > s:
-                s, step = score[k + 1] - 1, 3
-            if left > s:
-                s, step = left, 4
-            if s <= 0:
-                s, step = 0, 0
-            row[k], steps[k] = s, step
-            left = s - 1
-            if s > best:
-                best, best_at = s, (i, k)
-        back.append(steps)
-        score = row
+        row = score - 1
+        row[starts[1:]] = np.maximum(row[starts[1:]], score[starts[:-1]] - 1)
+        at = matches[i]
+        if len(at):
+            row[at + len(w)] = np.maximum(row[at + len(w)], score[at] + 2)
+        after = np.maximum(np.maximum.accumulate(row + skipped) - skipped, 0)
+        if len(at) and (top := int(after[at + len(w)].max())) > best:
+            best, best_at = top, (i, int(at[np.argmax(after[at + len(w)])]) + len(w))
+        rows.append((score, row))
+        score = after
     out = []
     i, k = best_at
-    while i >= 0 and back[i][k]:
-        step = back[i][k]
-        if step == 1:
-            out.append((i, i + lo + k))
-        if step in (1, 2):
-            i -= 1
-        elif step == 3:
-            i, k = i - 1, k + 1
-        else:
-            k -= 1
+    while i >= 0:
+        before, row = rows[i]
+        value = int(np.max(row[: k + 1] + skipped[: k + 1]) - skipped[k])
+        if value <= 0:
+            break
+        k = int(np.flatnonzero(row[: k + 1] + skipped[: k + 1] - skipped[k] == value)[-1])
+        w, at = item[i], k - len(item[i])
+        if at >= 0 and row[k] == before[at] + 2 and at in matches[i]:
+            out.append((i, int(of[at])))
+            k = at
+        elif row[k] != before[k] - 1:  # one word for another
+            k = int(starts[of[k] - 1])
+        i -= 1
     return out[::-1]
 
 

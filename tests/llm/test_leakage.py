@@ -66,6 +66,18 @@ def test_passages_with_every_fourth_or_fifth_word_changed(step, n):
     assert got == {(i, i) for i in range(len(docs))}
 
 
+@pytest.mark.parametrize("other", ["-\n", " ", "", "\n"])
+def test_broken_and_joined_words_count_as_repeated(other):
+    """27 words, of which each third is broken, or run together with the one before."""
+    part = ITEM[20:47]
+    text = " ".join(w if i % 3 or not other else w[:2] + other + w[2:] for i, w in enumerate(part))
+    if not other:
+        text = "".join(w + " " * (i % 3 > 0) for i, w in enumerate(part))
+    scanner = leakage.Scanner(leakage.ItemIndex([(1, " ".join(ITEM))]))
+    got = scanner.chunk([5], [" ".join(_text(60, 50)) + ". " + text + ". " + " ".join(_text(61, 50))])
+    assert [(d, i) for d, i, _ in got] == [(5, 1)] and sum(p[2] for p in got[0][2]) >= 27
+
+
 def test_what_is_no_leak(spark):
     docs = {1: " ".join(ITEM[10:30]), 2: " ".join(reversed(ITEM)), 3: " ".join(_text(30, 500)), 4: "", 5: None, 6: " ".join(w for i, w in enumerate(ITEM) if i % 4 == 0), 7: "x" * 200_000}
     assert _found(spark, docs.items()) == set()
