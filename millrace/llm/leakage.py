@@ -23,7 +23,7 @@ LEAST_BAND, BAND_WORDS, STRETCH_GAP, PAIR_WORDS = 8, 6, 8, 18
 COUNTERS, SLICE = 1 << 22, 2_000_000
 #: Words of an item that a document must repeat, and words that one passage must have to count.
 LEAST_WORDS, LEAST_PASSAGE = 25, 8
-#: Between passages no longer than LEAST_WORDS: runs of FORMULA words that stand alone in this share of the documents (and in 5) are formulas.
+#: Between passages shorter than LEAST_WORDS: runs of FORMULA words that stand alone in different texts, as many as this share of the documents (and 5), are formulas.
 FORMULA, FORMULA_SHARE, FORMULA_DOCS = (7, 20), 0.0005, 5
 #: Items in one index; more of them go through the documents in several blocks.
 BLOCK = 20_000
@@ -185,6 +185,16 @@ def passages(item: list[str], doc: list[str], regions: list[tuple[int, int, int,
     return [k[:3] for k in sorted(kept)]
 
 
+def _marks(hashes: np.ndarray, letters: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number per text from the least of its q-grams under two orders: equal for copies, mostly equal for corrected reissues, and for
+    other texts only by what they share of both."""
+    with np.errstate(over="ignore"):
+        across = np.convolve(letters == BREAK, np.ones(Q, bool), "valid") > 0  # q-grams over the end of a text
+        own = np.minimum(first, len(hashes) - 1)
+        a, b = (np.minimum.reduceat(np.where(across, ~np.uint64(0), hashes * np.uint64(k)), own) for k in (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
+        return (a * _P ^ b).view(np.int64)
+
+
 def _reached(group: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of intervals ordered by group and start: how far those before reach (far below 0 if a group starts), and how much each adds to them."""
     lift = group.astype(np.int64) << 32
@@ -193,12 +203,11 @@ def _reached(group: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.
 
 
 class Scanner:
-    """Candidates of one partition, and how often each item word stood in a short run alone."""
+    """Candidates of one partition, and the short runs of item words that stood alone, with marks of the texts they stood in."""
 
     def __init__(self, index: ItemIndex):
         self.index = index
-        self.offsets = np.cumsum([0, *[len(w) + 1 for w in index.words]])
-        self.alone = np.zeros(self.offsets[-1] + 1, np.int64)
+        self.alone: list[tuple[int, int, int, int]] = []
         self.docs = 0
 
     def chunk(self, ids: list[int], texts: list[str]) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
@@ -215,7 +224,8 @@ class Scanner:
         letters = codes[kept]
         if len(letters) < Q:
             return []
-        at, number = self.index.places(_qgrams(letters))
+        hashes = _qgrams(letters)
+        at, number = self.index.places(hashes)
         if not len(at):
             return []
         item, diagonal, place = self._dense(at, number, len(letters))
@@ -265,7 +275,9 @@ class Scanner:
                 out.append((ids[d], self.index.ids[i], found))
                 alone[p] = False
         apart = alone[inverse]
-        self._count_alone(r_item[apart], r_from[apart], r_to[apart])
+        if apart.any():
+            marks = _marks(hashes, letters, np.searchsorted(kept, starts))
+            self._keep_alone(r_item[apart], r_from[apart], r_to[apart], marks[pair[apart] // len(self.index.ids)])
         return out
 
     def _dense(self, at, number, letters):
@@ -301,15 +313,14 @@ class Scanner:
         out = np.sort(np.concatenate(out))
         return out >> (diagonal_bits + place_bits), ((out >> place_bits) & ((1 << diagonal_bits) - 1)) - most, out & ((1 << place_bits) - 1)
 
-    def _count_alone(self, item, first, last):
-        """Counts, per item word, short runs that cover it, of pairs that share no more."""
+    def _keep_alone(self, item, first, last, mark):
+        """Keeps short runs, with the mark of their text, of pairs that share no more."""
         for k in np.unique(item).tolist():
             own = item == k
             a = np.searchsorted(self.index.starts[k], first[own], side="left")
             b = np.searchsorted(self.index.starts[k], last[own], side="right") - 1
             ok = (b - a >= FORMULA[0]) & (b - a <= FORMULA[1])
-            np.add.at(self.alone, self.offsets[k] + a[ok], 1)
-            np.add.at(self.alone, self.offsets[k] + b[ok], -1)
+            self.alone += zip([self.index.ids[k]] * int(ok.sum()), a[ok].tolist(), b[ok].tolist(), mark[own][ok].tolist(), strict=True)
 
     def _tokens(self, letters, kept, codes, a, b):
         """The words of a document and, per word, the number of its first letter in the chunk's letters."""
@@ -344,15 +355,8 @@ class Scanner:
             return []
         return passages(self.index.words[i], doc, [tuple(r[:4]) for r in regions])
 
-    def formulas(self) -> Iterator[tuple[int, int, int]]:
-        """(item, word, runs) for words that stood in short runs."""
-        for k, i in enumerate(self.index.ids):
-            n = np.cumsum(self.alone[self.offsets[k] : self.offsets[k + 1]])[: len(self.index.words[k])]
-            for w in np.flatnonzero(n).tolist():
-                yield i, w, int(n[w])
-
 
-_SCAN = "doc_id bigint, item_id bigint, first array<int>, last array<int>, words array<int>, word int, docs bigint"
+_SCAN = "doc_id bigint, item_id bigint, first array<int>, last array<int>, words array<int>, word int, end int, mark bigint, docs bigint"
 
 
 def _scan(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -360,7 +364,7 @@ def _scan(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         scanner = Scanner(ItemIndex(items))
         names = [x.split()[0] for x in _SCAN.split(", ")]
         ints = pa.list_(pa.int32())
-        types = [pa.int64(), pa.int64(), ints, ints, ints, pa.int32(), pa.int64()]
+        types = [pa.int64(), pa.int64(), ints, ints, ints, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -377,16 +381,17 @@ def _scan(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             if ids:
                 rows += scanner.chunk(ids, texts)
             if rows:
-                yield batch([(d, i, [p[0] for p in ps], [p[1] for p in ps], [p[2] for p in ps], None, None) for d, i, ps in rows])
-        counts = [(None, i, None, None, None, w, n) for i, w, n in scanner.formulas()]
-        counts.append((None, None, None, None, None, None, scanner.docs))
-        yield batch(counts)
+                yield batch([(d, i, [p[0] for p in ps], [p[1] for p in ps], [p[2] for p in ps], None, None, None, None) for d, i, ps in rows])
+            if scanner.alone:  # copies in one batch once
+                yield batch([(None, i, None, None, None, a, z, m, None) for i, a, z, m in sorted(set(scanner.alone))])
+                scanner.alone = []
+        yield batch([(None,) * 8 + (scanner.docs,)])
 
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, _SCAN)
 
 
 def _counted(found: DataFrame, formula: dict[int, set[int]]) -> DataFrame:
-    """Words per (document, item), those of formulas left out where they make up a passage."""
+    """Words per (document, item), those of formulas left out where they make up a passage shorter than LEAST_WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -395,7 +400,7 @@ def _counted(found: DataFrame, formula: dict[int, set[int]]) -> DataFrame:
                 marked, total = formula.get(item, set()), 0
                 for a, z, w in zip(first, last, words_, strict=True):
                     own = sum(k not in marked for k in range(a, z + 1))
-                    total += w if own >= LEAST_PASSAGE else min(w, own)
+                    total += w if w >= LEAST_WORDS or own >= LEAST_PASSAGE else min(w, own)
                 n.append(total)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array([len(x) for x in b.column(2).to_pylist()], pa.int32())], ["doc_id", "item_id", "words", "passages"])
 
@@ -408,10 +413,10 @@ def leaked_items(documents: DataFrame, eval_item: DataFrame, block: int = BLOCK)
     Both texts are folded to letters and digits without case, accents, punctuation and spacing. The documents are read
     once per ``block`` items: their q-grams are looked up in the items' index, all counted in overlapping diagonal bands, and a (document, item) pair whose bands
     hold stretches of words in common is verified by banded alignment of its words: runs of three words between edits still hold q-grams. Words of
-    procedural formulas (short runs that stand alone in many documents, counted over all documents) count only inside a longer passage.
+    procedural formulas (short runs that stand alone in many different texts, counted over all documents, copies and most corrected reissues once) count only inside a longer passage.
 
-    Only the items are sent to the tasks, ``block`` of them at a time, and only candidates and counts per item word come back: nothing of the size of the
-    corpus is shuffled. Null ids and texts find nothing; items of under LEAST_WORDS words can't leak; equal items are found each; an empty table on either side gives no rows.
+    Only the items are sent to the tasks, ``block`` of them at a time, and only candidates and the short runs, a few numbers each, come back: no text
+    is shuffled. Null ids and texts find nothing; items of under LEAST_WORDS words can't leak; equal items are found each; an empty table on either side gives no rows.
     """
     items = eval_item.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").dropDuplicates(["item_id"])
     blocks = max(1, -(-items.count() // block))
@@ -420,7 +425,8 @@ def leaked_items(documents: DataFrame, eval_item: DataFrame, block: int = BLOCK)
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         scan = written(_scan(documents, [tuple(r) for r in own.collect()]), "leak-scan")
         n = scan.where(F.col("doc_id").isNull() & F.col("item_id").isNull()).agg(F.sum("docs")).first()[0] or 0
-        common = scan.where(F.col("word").isNotNull()).groupBy("item_id", "word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(FORMULA_DOCS, FORMULA_SHARE * n))
+        short = scan.where(F.col("word").isNotNull()).select("item_id", F.explode(F.sequence("word", F.col("end") - 1)).alias("word"), "mark").distinct()
+        common = short.groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= max(FORMULA_DOCS, FORMULA_SHARE * n))
         formula: dict[int, set[int]] = {}
         for item, word in common.select("item_id", "word").collect():  # at most the words of a block of items
             formula.setdefault(item, set()).add(word)

@@ -93,6 +93,18 @@ def test_formulas_dont_count(spark):
     assert _found(spark, docs.items(), items) == {(101, 1)}
 
 
+def test_copies_are_no_formula_and_long_passages_lose_nothing(spark):
+    items = [(1, "en", "t", " ".join(ITEM))]
+    page = " ".join(_text(400, 60)) + " " + " ".join(ITEM[10:30]) + " " + " ".join(_text(401, 60))
+    docs = {i: page for i in range(40)}
+    docs[100] = " ".join(_text(402, 50) + ITEM[6:32] + _text(403, 50))
+    docs[101] = " ".join(ITEM[11:29] + _text(404, 60) + ITEM[50:70])
+    assert _found(spark, docs.items(), items) == {(100, 1), (101, 1)}
+    # quoted by many different texts it is a formula, but 26 words in one passage count
+    docs = {i: " ".join(_text(500 + i, 60) + ITEM[10:30] + _text(600 + i, 60)) for i in range(40)} | {100: docs[100], 101: docs[101]}
+    assert _found(spark, docs.items(), items) == {(100, 1)}
+
+
 def test_ties_empty_tables_and_blocks(spark):
     items = [(1, "en", "t", " ".join(ITEM)), (2, "en", "t", " ".join(ITEM)), (3, None, None, None), (4, "en", "t", "short"), (5, "en", "t", "")]
     docs = [(1, " ".join(ITEM[:40])), (2, " ".join(ITEM[:40])), (None, " ".join(ITEM))]
