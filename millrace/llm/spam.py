@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ KEYWORD_TIMES, KEYWORD_SHARE, KEYWORD_RATIO, NEVER = 4, 0.03, 10, 50
 LINK_WORD, PAGE, CANDIDATE = 6, 0.5, 0.3
 #: The first words of a sentence, and how many it has to have, in which a word must come again for it to be a keyword.
 OPENING = 6, 9
-#: A word of the lexicon stands in stuffed text of so many candidates, and so many times as many as those where it stands elsewhere.
-LEXICON = 5, 2
+#: A word of the lexicon stands in stuffed text of so many documents (this share of all, but at least so many), and so many times as many as those candidates where it stands elsewhere.
+LEXICON = 5e-5, 2, 2
 CHUNK = 1_500_000
 
 # Classes of tokens; signs and then function words follow.
@@ -244,10 +245,16 @@ def smooth(x: np.ndarray, weight: np.ndarray, doc: np.ndarray, window: int = WIN
 _CURRENCIES = np.array([_hash_of(c) for c in ("EUR", "USD", "GBP", "CHF", "SEK", "NOK", "DKK", "JPY", "CAD", "AUD")], np.uint64)
 
 
-def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Vocabulary, lexicon: np.ndarray | None = None) -> np.ndarray:
+def _in_document(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One number per document and word."""
+    with np.errstate(over="ignore"):
+        return hashes ^ ((doc.astype(np.uint64) + np.uint64(1)) * _M)
+
+
+def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which tokens are links, tags, prices or keywords: links; odd words and what is joined to # or, behind a keyword, to a colon; a number with
     decimals beside a currency; words that make up much of their document's abnormal text, and far more than of prose, but for calls
-    of one or two words that end in an exclamation mark, the first words in a bracket and those that come only where sentences open; and words of the lexicon."""
+    of one or two words that end in an exclamation mark, the first words in a bracket and those that come only where sentences open; and words of the lexicon (documents and words, those of each document)."""
     kind = t.kind
     is_word = kind == WORD
     word = np.flatnonzero(is_word & abnormal)
@@ -257,9 +264,9 @@ def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Voc
         _, inverse, n = np.unique(t.hash[word] ^ (t.doc[word].astype(np.uint64) * _M), return_inverse=True, return_counts=True)
         usual = vocabulary.rate(t.hash[word])
         out[word] = n[inverse] >= np.maximum(KEYWORD_TIMES, np.maximum(KEYWORD_SHARE, KEYWORD_RATIO * usual) * words[t.doc[word]])
-    if lexicon is not None and len(lexicon):
-        k = np.minimum(np.searchsorted(lexicon, t.hash), len(lexicon) - 1)
-        out |= (classes == RARE) & (lexicon[k] == t.hash)
+    if lexicon is not None and len(lexicon[0]):
+        rare = np.flatnonzero(classes == RARE)
+        out[rare] |= np.isin(_in_document(t.doc[rare], t.hash[rare]), _in_document(*lexicon))
     out &= ~is_word | (t.size > 1)
     back = lambda x, k=1: np.append(np.zeros(k, x.dtype), x[:-k]) if len(x) > k else np.zeros(len(x), x.dtype)
     opened = back(kind == _SIGN["("])
@@ -288,7 +295,7 @@ def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Voc
     return out | t.odd | (joined & back(kind == _SIGN["#"])) | (joined & back((kind == _SIGN[":"]) & t.glued) & back(out, 2))
 
 
-def stuffed(t: Tokens, classes: np.ndarray, mean: list[np.ndarray], limits: list[list[tuple[float, float]]], vocabulary: Vocabulary, lexicon: np.ndarray | None = None) -> np.ndarray:
+def stuffed(t: Tokens, classes: np.ndarray, mean: list[np.ndarray], limits: list[list[tuple[float, float]]], vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which tokens stand in text of abnormal perplexity that is made of keywords, links, tags or prices."""
     abnormal = beyond(mean, limits[0])
     tags = tagged(t, classes, abnormal, vocabulary, lexicon)
@@ -382,19 +389,21 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> Model:
 _STEP = 50
 
 
-def abnormal_pages(texts: DataFrame, model, least: float) -> tuple[DataFrame, list[list[tuple[float, float]]]]:
+def abnormal_pages(texts: DataFrame, model, least: float) -> tuple[DataFrame, list[list[tuple[float, float]]], int]:
     """Documents of whose characters at least ``least`` stand in text of abnormal perplexity, with their texts, and the limits beyond which
-    it is abnormal, for each of TAILS near and far: those that all but that share of the tokens of prose keep, on either side, counted over all texts."""
+    it is abnormal, for each of TAILS near and far: those that all but that share of the tokens of prose keep, on either side, counted over all texts; and the number of texts."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(WINDOWS), 64 * _STEP), np.int64)
+        counts, n = np.zeros((len(WINDOWS), 64 * _STEP), np.int64), 0
         for _, part in _chunks(batches):
             t = Tokens(part)
+            n += t.n
             ok = t.prose()
             for k, mean in enumerate(model.value.perplexity(t, t.classes(model.value.vocabulary))):
                 counts[k] += np.bincount(np.minimum(mean[ok] * _STEP, counts.shape[1] - 1).astype(int), minlength=counts.shape[1])
         for k in range(len(WINDOWS)):
             yield _count_rows(k, np.flatnonzero(counts[k]), counts[k][counts[k] > 0])
+        yield _count_rows(len(WINDOWS), np.array([0]), np.array([n]))
 
     rows = texts.mapInArrow(measure, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")).orderBy("kind", "key").collect()
     limits = []
@@ -413,7 +422,7 @@ def abnormal_pages(texts: DataFrame, model, least: float) -> tuple[DataFrame, li
             at = np.flatnonzero(share(t, beyond(mean, limits[0])) >= least)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([part[i] for i in at], pa.string())], ["doc_id", "text"])
 
-    return texts.mapInArrow(score, "doc_id bigint, text string"), limits
+    return texts.mapInArrow(score, "doc_id bigint, text string"), limits, sum(r.n for r in rows if r.kind == len(WINDOWS))
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
@@ -423,39 +432,42 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     with much text of abnormally high or low perplexity are candidates. Lists of names, tables and order papers are abnormal too, so of
     candidates only text counts whose words are largely links, tags or keywords; keywords are words that a page repeats, or that over all candidates stand mostly in such text.
 
-    Texts are passed by four times: words of prose, n-grams, limits, scores; only counts are shuffled, and only the candidates' texts written. The model has
-    a fixed size. Null and empty texts and null ids give no row, an empty table none at all.
+    Texts are passed by four times: words of prose, n-grams, limits, scores; of all texts only counts are shuffled; the candidates' texts and rare words are written and joined, with no
+    limit to the words that are learnt. The model has a fixed size. Null and empty texts and null ids give no row, an empty table none at all.
     """
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
     sc = documents.sparkSession.sparkContext
     model = sc.broadcast(train(texts, prose_vocabulary(texts)))
-    found, limits = abnormal_pages(texts, model, CANDIDATE)
+    found, limits, total = abnormal_pages(texts, model, CANDIDATE)
     candidates = written(found, "abnormal-pages")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store: dict = {}
-        for _, part in _chunks(batches):
+        for ids, part in _chunks(batches):
             t = Tokens(part)
             c = t.classes(model.value.vocabulary)
             bad = stuffed(t, c, model.value.perplexity(t, c), limits, model.value.vocabulary)
-            for kind in (0, 1):
-                w = np.flatnonzero((c == RARE) & (bad == bool(kind)))
-                both = np.unique(np.stack([t.doc[w].astype(np.int64), t.hash[w].view(np.int64)]), axis=1)
-                _add_counts(store, kind, both[1])
-        for kind, (u, n) in store.items():
-            yield _count_rows(kind, u, n)
+            w = np.flatnonzero(c == RARE)
+            key, at = np.unique(np.stack([t.doc[w].astype(np.int64), t.hash[w].view(np.int64)]), axis=1, return_inverse=True)
+            n = np.bincount(at.ravel(), bad[w], key.shape[1]).astype(int), np.bincount(at.ravel(), ~bad[w], key.shape[1]).astype(int)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in key[0].tolist()], pa.int64()), pa.array(key[1]), pa.array(n[0] > 0), pa.array(n[1] > 0)], ["doc_id", "key", "stuffed", "other"])
 
-    n = lambda k: F.sum(F.expr(f"if(kind = {k}, n, 0)"))
-    words = candidates.mapInArrow(learn, _COUNTS).groupBy("key").agg(n(1).alias("stuffed"), n(0).alias("other"))
-    words = words.where((F.col("stuffed") >= LEXICON[0]) & (F.col("stuffed") >= LEXICON[1] * F.col("other"))).orderBy(F.desc("stuffed"), "key").limit(VOCABULARY)
-    lexicon = np.sort(np.array([r.key for r in words.select("key").collect()], np.int64).view(np.uint64))
+    words = written(candidates.mapInArrow(learn, "doc_id bigint, key bigint, stuffed boolean, other boolean"), "candidate-words")
+    n = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    lexicon = words.groupBy("key").agg(n("stuffed"), n("other")).where((F.col("stuffed") >= max(LEXICON[1], LEXICON[0] * total)) & (F.col("stuffed") >= LEXICON[2] * F.col("other")))
+    own = words.select("doc_id", "key").join(lexicon.select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    pages = candidates.join(own, "doc_id", "left").select("doc_id", "text", F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, part in _chunks(batches):
-            t = Tokens(part)
-            c = t.classes(model.value.vocabulary)
-            s = share(t, stuffed(t, c, model.value.perplexity(t, c), limits, model.value.vocabulary, lexicon))
-            at = np.flatnonzero(s > PAGE)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(s[at])], ["doc_id", "spam_share"])
-
-    return candidates.mapInArrow(judge, "doc_id bigint, spam_share double")
+        for b in batches:
+            done = 0
+            for ids, part in _chunks([b]):
+                keys = b.column(2).slice(done, len(ids))
+                done += len(ids)
+                t = Tokens(part)
+                c = t.classes(model.value.vocabulary)
+                known = np.repeat(np.arange(len(ids)), pc.list_value_length(keys).to_numpy()), keys.flatten().to_numpy().view(np.uint64)
+                s = share(t, stuffed(t, c, model.value.perplexity(t, c), limits, model.value.vocabulary, known))
+                at = np.flatnonzero(s > PAGE)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(s[at])], ["doc_id", "spam_share"])
+
+    return pages.mapInArrow(judge, "doc_id bigint, spam_share double")

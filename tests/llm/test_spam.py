@@ -79,3 +79,19 @@ def test_hash_is_of_the_folded_word_wherever_it_stands():
 def test_windows_stay_in_their_document():
     doc = np.repeat([0, 1], 50)
     assert (spam.smooth(np.where(doc == 0, 1.0, 5.0), np.ones(100), doc, 12) == np.where(doc == 0, 1.0, 5.0)).all()
+
+
+def test_lexicon_has_no_cap(spark, monkeypatch):
+    """Pages that name each of many goods once are known by the words of other pages, however many those are."""
+    monkeypatch.setattr(spam, "VOCABULARY", 3)
+    rng = random.Random(8)
+    goods = [a + b for a in "zor vad mil tek bru nal".split() for b in "quad fenk opri lusk arbo imta ulve ostri egna yspo".split()]
+    _, fine = _pages()
+    rows = dict(fine)
+    for k in range(120):
+        own = [goods[(k + d) % 60] for d in (0, 7, 19)]
+        rows[3000 + k] = ", ".join(rng.choice(own) for _ in range(60))
+    for k in range(2):
+        rows[4000 + k] = ", ".join(rng.sample(goods, 60))
+    got = {r.doc_id for r in spam.spam_pages(spark.createDataFrame(list(rows.items()), DOCS)).collect()}
+    assert {4000, 4001} <= got and not got & set(fine)
