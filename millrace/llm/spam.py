@@ -28,7 +28,7 @@ WINDOWS = 12, 60
 TAILS = (0.02, 0.2), (0.15, 0.5)
 #: A keyword comes so often in a document's abnormal text, makes up so much of its words, and so many times its share in prose; the commonest words of prose never are.
 KEYWORD_TIMES, KEYWORD_SHARE, KEYWORD_RATIO, NEVER = 4, 0.03, 10, 50
-#: A link counts as a word per so many characters; so much of a page must be stuffed text; and so much of it abnormal for it to be looked at.
+#: A link counts as a word per so many characters; so much of a page must be stuffed text; and so much of it abnormal for it to be looked at, or PAGE beyond the wider limits.
 LINK_WORD, PAGE, CANDIDATE = 6, 0.5, 0.3
 #: The first words of a sentence, and how many it has to have, in which a word must come again for it to be a keyword.
 OPENING = 6, 9
@@ -297,11 +297,13 @@ def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Voc
 
 def stuffed(t: Tokens, classes: np.ndarray, mean: list[np.ndarray], limits: list[list[tuple[float, float]]], vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which tokens stand in text of abnormal perplexity that is made of keywords, links, tags or prices."""
-    abnormal = beyond(mean, limits[0])
-    tags = tagged(t, classes, abnormal, vocabulary, lexicon)
-    weight = np.where(t.kind == LINK, t.size / LINK_WORD, ((t.kind == WORD) & (t.size > 1)) | tags)
-    evidence = smooth(tags, weight, t.doc)
-    return np.logical_or.reduce([beyond(mean, own) & (evidence >= least) for own, (_, least) in zip(limits, TAILS, strict=True)])
+    out = np.zeros(len(t.kind), bool)
+    for own, (_, least) in zip(limits, TAILS, strict=True):
+        abnormal = beyond(mean, own)
+        tags = tagged(t, classes, abnormal, vocabulary, lexicon)
+        weight = np.where(t.kind == LINK, t.size / LINK_WORD, ((t.kind == WORD) & (t.size > 1)) | tags)
+        out |= abnormal & (smooth(tags, weight, t.doc) >= least)
+    return out
 
 
 def share(t: Tokens, which: np.ndarray) -> np.ndarray:
@@ -390,7 +392,7 @@ _STEP = 50
 
 
 def abnormal_pages(texts: DataFrame, model, least: float) -> tuple[DataFrame, list[list[tuple[float, float]]], int]:
-    """Documents of whose characters at least ``least`` stand in text of abnormal perplexity, with their texts, and the limits beyond which
+    """Documents of whose characters at least ``least`` stand in text of abnormal perplexity, or more than PAGE beyond the widest limits, with their texts, and the limits beyond which
     it is abnormal, for each of TAILS near and far: those that all but that share of the tokens of prose keep, on either side, counted over all texts; and the number of texts."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +421,8 @@ def abnormal_pages(texts: DataFrame, model, least: float) -> tuple[DataFrame, li
         for ids, part in _chunks(batches):
             t = Tokens(part)
             mean = model.value.perplexity(t, t.classes(model.value.vocabulary))
-            at = np.flatnonzero(share(t, beyond(mean, limits[0])) >= least)
+            # what is stuffed is beyond the last, widest limits: no page that may yet be judged so is left out
+            at = np.flatnonzero((share(t, beyond(mean, limits[0])) >= least) | (share(t, beyond(mean, limits[-1])) > PAGE))
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([part[i] for i in at], pa.string())], ["doc_id", "text"])
 
     return texts.mapInArrow(score, "doc_id bigint, text string"), limits, sum(r.n for r in rows if r.kind == len(WINDOWS))
@@ -447,9 +450,9 @@ def spam_pages(documents: DataFrame) -> DataFrame:
             c = t.classes(model.value.vocabulary)
             bad = stuffed(t, c, model.value.perplexity(t, c), limits, model.value.vocabulary)
             w = np.flatnonzero(c == RARE)
-            key, at = np.unique(np.stack([t.doc[w].astype(np.int64), t.hash[w].view(np.int64)]), axis=1, return_inverse=True)
-            n = np.bincount(at.ravel(), bad[w], key.shape[1]).astype(int), np.bincount(at.ravel(), ~bad[w], key.shape[1]).astype(int)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in key[0].tolist()], pa.int64()), pa.array(key[1]), pa.array(n[0] > 0), pa.array(n[1] > 0)], ["doc_id", "key", "stuffed", "other"])
+            _, first, at = np.unique(_in_document(t.doc[w], t.hash[w]), return_index=True, return_inverse=True)
+            n = (np.bincount(at, x, len(first)) > 0 for x in (bad[w], ~bad[w]))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in t.doc[w[first]].tolist()], pa.int64()), pa.array(t.hash[w[first]].view(np.int64)), *map(pa.array, n)], ["doc_id", "key", "stuffed", "other"])
 
     words = written(candidates.mapInArrow(learn, "doc_id bigint, key bigint, stuffed boolean, other boolean"), "candidate-words")
     n = lambda c: F.sum(F.col(c).cast("long")).alias(c)

@@ -95,3 +95,19 @@ def test_lexicon_has_no_cap(spark, monkeypatch):
         rows[4000 + k] = ", ".join(rng.sample(goods, 60))
     got = {r.doc_id for r in spam.spam_pages(spark.createDataFrame(list(rows.items()), DOCS)).collect()}
     assert {4000, 4001} <= got and not got & set(fine)
+
+
+def test_keyword_pages_written_like_sentences(spark):
+    """Some pages are of keywords in short sentences, whose perplexity lies between the two tails."""
+    rng = random.Random(11)
+    _, fine = _pages()
+    one = lambda: " ".join(rng.choice([GOODS[0], rng.choice(DEALS)]) for _ in range(rng.randint(2, 4))).capitalize() + rng.choice(".!?")
+    bad = {6000 + k: " ".join(one() for _ in range(50)) for k in range(60)}
+    texts = spark.createDataFrame([*fine.items(), *bad.items()], DOCS)
+    model = spark.sparkContext.broadcast(spam.train(texts, spam.prose_vocabulary(texts)))
+    kept, limits = spam.abnormal_pages(texts, model, 2.0)[:2]  # of all that is abnormal only what the wider limits give
+    t = spam.Tokens([*fine.values(), *bad.values()])
+    mean = model.value.perplexity(t, t.classes(model.value.vocabulary))
+    wide = spam.share(t, spam.beyond(mean, limits[-1])) > spam.PAGE
+    ids = np.array([*fine, *bad])
+    assert wide.any() and set(ids[wide].tolist()) == {r.doc_id for r in kept.collect()}
