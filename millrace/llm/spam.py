@@ -27,7 +27,9 @@ WINDOWS = 12, 60
 #: Evidence: so many of the words around must be keywords, links or tags.
 TAILS = (0.02, 0.2), (0.15, 0.5)
 #: A keyword comes so often in a document's abnormal text, makes up so much of its words, and so many times its share in prose; the commonest words of prose never are.
+#: Where all words repeated so make up this much of it together, none needs a share of its own.
 KEYWORD_TIMES, KEYWORD_SHARE, KEYWORD_RATIO, NEVER = 4, 0.03, 10, 50
+KEYWORDS_TOGETHER = 0.5
 #: A link counts as a word per so many characters; so much of a page must be stuffed text; and so much of it abnormal for it to be looked at, or PAGE beyond the wider limits.
 LINK_WORD, PAGE, CANDIDATE = 6, 0.5, 0.3
 #: The first words of a sentence, and how many it has to have, in which a word must come again for it to be a keyword.
@@ -253,7 +255,7 @@ def _in_document(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which tokens are links, tags, prices or keywords: links; odd words and what is joined to # or, behind a keyword, to a colon; a number with
-    decimals beside a currency; words that make up much of their document's abnormal text, and far more than of prose, but for calls
+    decimals beside a currency; words that make up much of their document's abnormal text, alone or all together, and far more than of prose, but for calls
     of one or two words that end in an exclamation mark, the first words in a bracket and those that come only where sentences open; and words of the lexicon (documents and words, those of each document)."""
     kind = t.kind
     is_word = kind == WORD
@@ -263,7 +265,10 @@ def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Voc
         words = np.bincount(t.doc[word], minlength=t.n)
         _, inverse, n = np.unique(t.hash[word] ^ (t.doc[word].astype(np.uint64) * _M), return_inverse=True, return_counts=True)
         usual = vocabulary.rate(t.hash[word])
-        out[word] = n[inverse] >= np.maximum(KEYWORD_TIMES, np.maximum(KEYWORD_SHARE, KEYWORD_RATIO * usual) * words[t.doc[word]])
+        own = words[t.doc[word]]
+        again = n[inverse] >= np.maximum(KEYWORD_TIMES, KEYWORD_RATIO * usual * own)
+        together = np.bincount(t.doc[word], again, t.n)[t.doc[word]] >= KEYWORDS_TOGETHER * own
+        out[word] = again & (together | (n[inverse] >= KEYWORD_SHARE * own))
     if lexicon is not None and len(lexicon[0]):
         rare = np.flatnonzero(classes == RARE)
         out[rare] |= np.isin(_in_document(t.doc[rare], t.hash[rare]), _in_document(*lexicon))

@@ -111,3 +111,16 @@ def test_keyword_pages_written_like_sentences(spark):
     wide = spam.share(t, spam.beyond(mean, limits[-1])) > spam.PAGE
     ids = np.array([*fine, *bad])
     assert wide.any() and set(ids[wide].tolist()) == {r.doc_id for r in kept.collect()}
+
+
+def test_many_keywords_on_a_long_page():
+    """50 keywords of 40 times each have 2 % of the page each, and all of it together."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(50)] * 40
+    rng.shuffle(words)
+    t = spam.Tokens([", ".join(words)])
+    vocabulary = spam.Vocabulary(np.array([], np.uint64), np.array([], np.int64))
+    tags = spam.tagged(t, t.classes(vocabulary), np.ones(len(t.kind), bool), vocabulary)
+    assert tags[t.kind == spam.WORD].mean() > 0.95
+    t = spam.Tokens([" ".join(f"{w}{i}x" for i, w in enumerate(words))])
+    assert not spam.tagged(t, t.classes(vocabulary), np.ones(len(t.kind), bool), vocabulary)[(t.kind == spam.WORD) & ~t.odd].any()
