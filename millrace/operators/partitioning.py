@@ -4,43 +4,83 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.functions.hashing import murmur3
+from millrace.tables import written
 
 
 def systematic_sample(df: DataFrame, order: list[str], rate: float, points: int = 1) -> DataFrame:
     """From each of ``points`` equal stretches of the ordered rows, the first ones, ``rate`` of all rows in total; whole rows only.
 
-    Numbering is two-step: rows are ranged over the tasks, counted per task, and numbered from the counts before, so no task orders all of them.
+    Rows are numbered as by ``numbered``, so no task orders all of them.
     """
-    rows = numbered(df, order)
-    total = df.count()
+    rows, total = numbered_and_counted(df, order, "__nr")
     stretch = max(1, total // points)
     take = int(total * rate / points)
-    return rows.where((F.floor((F.col("nr") - 1) / stretch) < points) & (F.pmod(F.col("nr") - 1, F.lit(stretch)) < take)).drop("nr")
+    return rows.where((F.floor((F.col("__nr") - 1) / stretch) < points) & (F.pmod(F.col("__nr") - 1, F.lit(stretch)) < take)).drop("__nr")
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str = "nr") -> DataFrame:
+    """Rows numbered from 1 in the order of the columns, without one task holding all.
+
+    Rows are ranged over the tasks, sorted and written once, with their task and their number in it; the numbers of rows per task are then counted from
+    that very table, so numbers and counts can't be of different ranges. One shuffle; what is added to each task's numbers is a row per task.
+    """
+    return numbered_and_counted(df, order, name)[0]
+
+
+def numbered_and_counted(df: DataFrame, order: list[str | Column], name: str) -> tuple[DataFrame, int]:
+    """The numbered rows, and how many there are."""
+    # the id that Spark gives: the task's number in the upper bits, the row's number within it in the lower 33
+    id_ = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", id_)
+    rows = written(ranged, "numbered")
+    sizes = rows.groupBy(F.shiftright("__id", 33).cast("int").alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before, total = _before(sizes)
+    rows = rows.withColumn("__part", F.shiftright("__id", 33).cast("int"))
+    own = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(before), "__part").withColumn(name, own + F.col("__sum")).drop("__part", "__id", "__sum"), total
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "nr") -> DataFrame:
-    """Rows numbered from 1 in the order of the columns, without one task holding all: ranges of rows are sorted apart, and each adds the rows of the ranges before it."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("__part").orderBy(*order)
-    counted = ranged.withColumn(name, F.row_number().over(own).cast("bigint"))
-    sizes = counted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per task
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return counted.join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+def _before(sizes: DataFrame) -> tuple[DataFrame, int | float]:
+    """Of a row per task (__part, __n): what the tasks before have together, and what all have. As many rows as tasks are read."""
+    parts = sorted((r["__part"], r["__n"] or 0) for r in sizes.collect())
+    rows, total = [], 0
+    for part, n in parts:
+        rows.append((part, total))
+        total += n
+    kind = sizes.schema["__n"].dataType.simpleString()
+    return sizes.sparkSession.createDataFrame(rows, f"__part int, __sum {kind}"), total
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """The sum of ``value`` over all rows before each, in the order of the columns; done in ranges as ``numbered``."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn(name, F.coalesce(F.sum(value).over(own), F.lit(0)))
-    sizes = summed.groupBy("__part").agg(F.sum(value).alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return summed.join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+    """The sum of ``value`` (whole numbers or doubles; nulls count 0) over all rows before each, in the order of the columns; ranged, sorted and written once as ``numbered``."""
+    kind = "double" if df.schema[value].dataType.simpleString() in ("float", "double") else "bigint"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__v", F.coalesce(F.col(value).cast(kind), F.lit(0).cast(kind)))
+    out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in ranged.schema], T.StructField("__part", T.IntegerType()), T.StructField("__own", ranged.schema["__v"].dataType)])
+    names = [f.name for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), 0
+        for b in batches:
+            v = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            upto = held + np.cumsum(v)
+            if len(v):
+                own, held = upto - v, upto[-1]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), part, np.int32)), pa.array(own)], names)
+
+    rows = written(ranged.mapInArrow(run, out), "running")
+    before, _ = _before(rows.groupBy("__part").agg(F.sum("__v").alias("__n")))
+    return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__sum")).drop("__part", "__own", "__v", "__sum")
 
 
 def range_boundaries(df: DataFrame, key: str, weight: str, partitions: int, tie: list[str] | None = None) -> DataFrame:
@@ -53,9 +93,9 @@ def range_boundaries(df: DataFrame, key: str, weight: str, partitions: int, tie:
     rows = df.select(*[F.col(c) for c in order], F.col(weight).cast("bigint").alias("__w"))
     total = rows.agg(F.sum("__w")).first()[0] or 0
     size, rest = divmod(total, partitions)
-    rows = running_sum(rows, order, "__w", "__before")
+    rows = running_sum(rows, order, "__w", "__ahead")
     # multiples that lie below the weight before a row: i * size + min(i, rest) for i from 0
-    w = F.col("__before")
+    w = F.col("__ahead")
     passed = F.when(w <= 0, F.lit(0)).when(w <= rest * (size + 1), F.ceil(w / (size + 1))).otherwise(F.lit(rest) + F.ceil((w - rest * (size + 1)) / max(1, size)))
     rows = rows.withColumn("__passed", passed.cast("bigint"))
     # the first row at which each multiple is passed; a row that passes several takes one, the rows after it the others

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.operators.partitioning import numbered
+from millrace.operators.partitioning import numbered, numbered_and_counted
 
 
 def total_sort(df: DataFrame, order: list[str]) -> DataFrame:
@@ -28,23 +34,41 @@ def validate(df: DataFrame, position: str, key: str, record: list[str]) -> DataF
 
 
 def summarise(df: DataFrame, position: str, key: str, record: list[str], parts: int | None = None) -> DataFrame:
-    """The same per part (a task's range of positions), to be merged: with part, first_key and last_key."""
+    """The same per part (a task's range of positions), to be merged: with part, from (the first position), first_key and last_key.
+
+    Rows are shuffled once, by ranges of position; each task then compares its rows batch by batch and gives one row. A null key is below all others.
+    """
     ranged = (df.repartitionByRange(parts, position) if parts else df.repartitionByRange(position)).sortWithinPartitions(position)
-    rows = ranged.select(F.spark_partition_id().alias("part"), F.col(position).alias("pos"), F.col(key).alias("key"), F.crc32(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in record])).alias("crc"))
-    w = Window.partitionBy("part").orderBy("pos")
-    rows = rows.withColumn("before", F.lag("key").over(w)).withColumn("nr", F.row_number().over(w))
-    bad = F.col("key") < F.col("before")
-    return rows.groupBy("part").agg(
-        F.min("pos").alias("from"),
-        F.coalesce(F.min(F.when(bad, F.col("nr") - 1)), F.lit(0)).cast("bigint").alias("first_unordered"),
-        F.coalesce(F.sum(bad.cast("bigint")), F.lit(0)).alias("unordered"),
-        F.count(F.lit(1)).alias("records"),
-        F.coalesce(F.sum((F.col("key") == F.col("before")).cast("bigint")), F.lit(0)).alias("duplicates"),
-        F.sum(F.col("crc").cast("decimal(38,0)")).alias("checksum"),
-        F.min_by("key", "pos").alias("first_key"),
-        F.max_by("key", "pos").alias("last_key"),
+    rows = ranged.select(F.col(position).alias("pos"), F.col(key).alias("key"), F.crc32(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in record])).alias("crc"))
+    pos_type, key_type = rows.schema["pos"].dataType, rows.schema["key"].dataType
+    count = ("first_unordered", "unordered", "records", "duplicates")
+    out = T.StructType(
+        [T.StructField("part", T.IntegerType()), T.StructField("from", pos_type), *[T.StructField(c, T.LongType()) for c in count], T.StructField("checksum", T.DecimalType(38, 0)), T.StructField("first_key", key_type), T.StructField("last_key", key_type)]
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, first, last, types = None, None, None, None
+        n = bad = same = crc = first_bad = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, types = b.column(1), (b.schema.field(0).type, b.schema.field(1).type)
+            before = pa.concat_arrays([last if last is not None else keys[:1], keys[:-1]])
+            less = pc.or_(pc.fill_null(pc.less(keys, before), False), pc.and_(pc.is_null(keys), pc.is_valid(before))).to_numpy(zero_copy_only=False)
+            equal = pc.or_(pc.fill_null(pc.equal(keys, before), False), pc.and_(pc.is_null(keys), pc.is_null(before))).to_numpy(zero_copy_only=False).copy()
+            if last is None:
+                equal[0] = False
+                start, first = b.column(0)[:1], keys[:1]
+            if not bad and less.any():
+                first_bad = n + int(np.argmax(less))
+            n, bad, same, crc = n + b.num_rows, bad + int(less.sum()), same + int(equal.sum()), crc + int(pc.sum(b.column(2)).as_py())
+            last = keys[-1:]
+        if n:
+            numbers = [pa.array([x], pa.int64()) for x in (first_bad, bad, n, same)]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), start, *numbers, pa.array([Decimal(crc)], pa.decimal128(38, 0)), first, last], out.names)
+
+    return rows.mapInArrow(run, out)
+
 
 def merge_summaries(parts: DataFrame) -> DataFrame:
     """One summary of all parts, in which a part's first key is held against the last one of the part before."""
@@ -78,9 +102,9 @@ def sort_records(spark: SparkSession, records: int, skewed: bool = False, ascii_
 
 
 def top_percent(df: DataFrame, by: str, percent: float, tie: list[str]) -> DataFrame:
-    """The ``percent`` of rows with the greatest ``by``, rounded down; each task keeps no more than those."""
-    n = int(df.count() * percent / 100)
-    return df.orderBy(F.col(by).desc(), *tie).limit(n)
+    """The ``percent`` of rows with the greatest ``by``, rounded down. Rows are numbered in that order over all tasks, so no task holds the share."""
+    rows, total = numbered_and_counted(df, [F.col(by).desc(), *tie], "__nr")
+    return rows.where(F.col("__nr") <= int(total * percent / 100)).drop("__nr")
 
 
 def completion_rank(df: DataFrame, group: str, by: str, tie: list[str]) -> DataFrame:

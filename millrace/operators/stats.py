@@ -9,10 +9,13 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.lookup import lookup_join, null_safe_join
+from millrace.operators.partitioning import running_sum
+
 _TYPES = {"int": T.LongType(), "uint": T.LongType(), "str": T.StringType()}
 
 
@@ -90,32 +93,50 @@ def stat_filter(df: DataFrame, query: StatQuery) -> DataFrame:
     return df.where(query.condition())
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """The element at half the number of values, from 0, of the ordered values per key. Values are counted per key and value first, so a
-    key with most rows sends only its distinct values, and they are gone through in order, not held."""
+def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The distinct values of each key in order: keys, value, __n (how often it comes), __cum (values of the key at or below it) and __all (values of the key).
+
+    Values are counted per key and value first, so a key with most rows sends only its distinct values. These are then ranged over the tasks by key and
+    value and summed up across them, so a key with most of the distinct values is shared by many tasks. Null values don't count.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys)
-    cum = F.sum("__n").over(w.orderBy(value))
-    at = F.floor(F.sum("__n").over(w) / 2)
-    return counts.withColumn("__cum", cum).withColumn("__at", at).where((F.col("__cum") > F.col("__at")) & (F.col("__cum") - F.col("__n") <= F.col("__at"))).select(*keys, F.col(value).alias(name))
+    rows = running_sum(counts, [*keys, value], "__n", "__ahead")
+    totals = rows.groupBy(*keys).agg(F.min("__ahead").alias("__start"), F.sum("__n").alias("__all"))
+    joined = lookup_join(rows, totals, keys, F.col(value), "inner", null_safe=True)
+    return joined.withColumn("__cum", F.col("__ahead") + F.col("__n") - F.col("__start")).drop("__ahead", "__start")
+
+
+def _holds(at: Column) -> Column:
+    """Whether the element number ``at``, from 0, of the key's ordered values has this value."""
+    return (F.col("__cum") > at) & (F.col("__cum") - F.col("__n") <= at)
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """The element at half the number of values, from 0, of the ordered values per key."""
+    return ranked_values(df, keys, value).where(_holds(F.floor(F.col("__all") / 2))).select(*keys, F.col(value).alias(name))
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """least, most, total, n, mean (cut to a whole number, as for whole values), median (the upper one) and population variance per key; null values don't count."""
+    """least, most, total, n, mean (cut to a whole number, as for whole values), median (the upper one) and population variance per key; null values don't count.
+
+    The variance of whole values comes from exact sums, so it doesn't depend on the order of the rows.
+    """
     rows = df.where(F.col(value).isNotNull())
     v = F.col(value)
-    stats = rows.groupBy(*keys).agg(F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v).alias("total"), F.count(v).alias("n"), F.var_pop(v).alias("variance"))
+    stats = rows.groupBy(*keys).agg(F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v).alias("total"), F.count(v).alias("n"), exact_variance(df, value).alias("variance"))
     stats = stats.withColumn("mean", F.floor(F.col("total") / F.col("n")))
     return null_safe_join(stats, upper_median(rows, keys, value), keys)
 
 
-def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Joined on keys of which nulls equal each other."""
-    other = b.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return a.join(other, on, how).drop(*[f"__{k}" for k in keys])
+def exact_variance(df: DataFrame, value: str) -> Column:
+    """The population variance. Of whole values it is (n Σv² - (Σv)²) / n² from exact sums, hence the same in any order of rows; where these pass 38 digits, and of doubles, the running one."""
+    v = F.col(value)
+    if df.schema[value].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return F.var_pop(v)
+    d = v.cast("decimal(19,0)")
+    n, s, q = F.count(v), F.try_sum(d).cast("decimal(38,0)"), F.try_sum(d * d)
+    exact = F.try_subtract(F.try_multiply(q, n.cast("decimal(18,0)")), F.try_multiply(s, s)).cast("double") / n.cast("double") / n.cast("double")
+    return F.coalesce(exact, F.var_pop(v))
 
 
 def rollup(df: DataFrame, levels: list[list[str]], value: str) -> DataFrame:
@@ -168,8 +189,10 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def size_histogram(df: DataFrame, value: str, bin_size: int) -> DataFrame:
-    """Values per bin of ``bin_size``, named by its lower end: bin, cnt."""
+def size_histogram(df: DataFrame, value: str, bin_size: int, every: int = 1) -> DataFrame:
+    """Values per bin of ``bin_size``, named by its lower end: bin, cnt. With ``every`` only each so-manieth row of a task counts, from its first; no row moves for that."""
+    if every > 1:
+        df = df.withColumn("__id", F.monotonically_increasing_id()).where(F.pmod(F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(every)) == 0)
     return df.where(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / bin_size) * bin_size).alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -190,10 +213,8 @@ def rebase(df: DataFrame, keys: list[str], ts: str, name: str = "seconds") -> Da
 
 
 def cdf(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per key and distinct value the share of values at or below it: keys, value, share. Counts per value are what is ordered."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    return counts.select(*keys, F.col(value).alias("value"), (F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w)).alias("share"))
+    """Per key and distinct value the share of values at or below it: keys, value, share."""
+    return ranked_values(df, keys, value).select(*keys, F.col(value).alias("value"), (F.col("__cum") / F.col("__all")).alias("share"))
 
 
 def completion_timeline(df: DataFrame, phase: str, keys: list[str], ts: str) -> DataFrame:
@@ -219,15 +240,12 @@ def flow_throughput(df: DataFrame, sender: str, peer: str, flow: str, size: str,
 
 
 def completion_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean and interpolated median per key; the median from counts per value, as ``upper_median``."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys)
-    rows = counts.withColumn("__cum", F.sum("__n").over(w.orderBy(value))).withColumn("__all", F.sum("__n").over(w))
-    holds = lambda at: (F.col("__cum") > at) & (F.col("__cum") - F.col("__n") <= at)
+    """n, mean and interpolated median per key; both from counts per value."""
+    rows = ranked_values(df, keys, value)
     low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
     return rows.groupBy(*keys).agg(
         F.sum("__n").alias("n"), (F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"),
-        ((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("median"),
+        ((F.max(F.when(_holds(low), F.col(value))) + F.max(F.when(_holds(high), F.col(value)))) / 2).alias("median"),
     )
 
 

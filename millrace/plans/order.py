@@ -209,7 +209,7 @@ with m as (select piece_id, any_value(job_id) as job_id, any_value(tuples_in) as
 select job_id, count(*) as pieces, cast(sum(tuples_in) as bigint) as tuples_in, cast(sum(bytes_in) as bigint) as bytes_in, cast(sum(tuples_out) as bigint) as tuples_out, cast(sum(bytes_out) as bigint) as bytes_out, cast(sum(bytes_mapped) as bigint) as bytes_mapped from m group by job_id""",
     "consecutive_pairs": """
 with f as (select l_orderkey, l_linenumber, printf('%016X', l_partkey) as fragment from lineitem)
-select * from (select l_orderkey, l_linenumber, fragment || lead(fragment) over (partition by l_orderkey order by l_linenumber) as key from f) where key is not null""",
+select * from (select l_orderkey, l_linenumber, fragment || lead(fragment) over (partition by l_orderkey order by l_linenumber, fragment) as key from f) where key is not null""",
     "shared_scan": "select l_returnflag, l_linenumber, count(*) as cnt from lineitem group by grouping sets ((l_returnflag), (l_linenumber))",
     "scan_kv_framed": "select printf('%016X', c_custkey) as key, rpad(c_mktsegment, 12, ' ') as value from customer",
     "scan_fixed_records": "select printf('%016X', c_custkey) as key, rpad(c_mktsegment, 12, ' ') as value from customer",

@@ -102,8 +102,8 @@ def write_kv(df: DataFrame, path: str, headers: bool = True) -> list[str]:
     return sorted(r.file for r in df.select(F.col("key").cast("binary"), F.col("value").cast("binary")).mapInArrow(run, "file string").collect())
 
 
-def consecutive_pairs(df: DataFrame, stream: str, pos: str, fragment: str) -> DataFrame:
-    """Each fragment joined with the next one of its stream: stream, pos, key. The last of a stream begins no pair."""
-    w = Window.partitionBy(stream).orderBy(pos)
+def consecutive_pairs(df: DataFrame, stream: str, pos: str, fragment: str, tie: list[str] | None = None) -> DataFrame:
+    """Each fragment joined with the next one of its stream: stream, pos, key. The last of a stream begins no pair. Fragments at one place are taken by ``tie``, then by themselves."""
+    w = Window.partitionBy(stream).orderBy(pos, *(tie or []), fragment)
     rows = df.select(stream, pos, fragment, F.lead(fragment).over(w).alias("__next"))
     return rows.where(F.col("__next").isNotNull()).select(stream, pos, F.concat(F.col(fragment), F.col("__next")).alias("key"))
