@@ -32,7 +32,7 @@ def multi_regex_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.summary(_lines(spark, sf_dir), ["stage_name", "stat_name"], "uint_value")
-    return out.select("stage_name", "stat_name", "least", "most", "total", "n", "mean", "median", F.round("variance", 2).alias("variance"))
+    return out.select("stage_name", "stat_name", "least", "most", "total", "n", "mean", "median", "variance")
 
 
 def stat_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ with f as (select split_part(lower(trim(sender_host)), '.', 1) as sender, partit
 SQL = {
     "stat_filter": _LINES + " select line_id, stage_name, stat_name, uint_value from l where line_type = 'COLL' and phase_name in ('phase_one', 'phase_two') and regexp_full_match(stage_name, 's.*er') and worker_id = 3",
     "multi_regex_grep": _LINES + ", r as (select line_id, concat_ws(chr(9), coalesce(phase_name, ''), stage_name, stat_name) as line from l) " + " union all ".join(f"select line_id, {i} as pattern_no from r where regexp_full_match(line, '{p.replace(chr(9), chr(92) + 't')}')" for i, p in enumerate(PATTERNS)),
-    "stat_summary": _LINES + f" select stage_name, stat_name, min(uint_value) as least, max(uint_value) as most, cast(sum(uint_value) as bigint) as total, count(*) as n, cast(floor(sum(uint_value) / count(*)) as bigint) as mean, {_MEDIAN} as median, round((count(*)::hugeint * sum(uint_value::hugeint * uint_value) - sum(uint_value)::hugeint * sum(uint_value)::hugeint)::double / count(*) / count(*), 2) as variance from l group by all",
+    "stat_summary": _LINES + f" select stage_name, stat_name, min(uint_value) as least, max(uint_value) as most, cast(sum(uint_value) as bigint) as total, count(*) as n, cast(floor(sum(uint_value) / count(*)) as bigint) as mean, {_MEDIAN} as median, (count(*)::hugeint * sum(uint_value::hugeint * uint_value) - sum(uint_value)::hugeint * sum(uint_value)::hugeint)::varchar::double / count(*) / count(*) as variance from l group by all",
     "stat_rollup": _LINES + " select stage_name, hostname, worker_id, cast(3 - grouping(stage_name) - grouping(hostname) - grouping(worker_id) as integer) as level, count(*) as n, cast(sum(uint_value) as bigint) as total, min(uint_value) as least, max(uint_value) as most from l group by grouping sets ((stage_name), (hostname, stage_name), (hostname, stage_name, worker_id))",
     "derived_rates": _LINES + """, s as (
   select stage_name, count(distinct worker_id) as workers, count(distinct hostname) as nodes,
