@@ -18,15 +18,15 @@ Q = 8
 BAND = 64
 #: Common q-grams that a band must hold. Words wholly in runs of them: so many in a stretch of a band with no more than so many words between runs, and in all
 #: for a document and an item to be aligned.
-LEAST_BAND, BAND_WORDS, STRETCH_GAP, PAIR_WORDS = 8, 6, 8, 18
+LEAST_BAND, BAND_WORDS, STRETCH_GAP, PAIR_WORDS = 16, 6, 8, 18
 #: Counters of bands, by hash (a shared one only lets more through), and hits looked at in one go.
-COUNTERS, SLICE = 1 << 22, 2_000_000
+COUNTERS, SLICE = 1 << 22, 4_000_000
 #: Words of an item that a document must repeat, and words that one passage must have to count.
 LEAST_WORDS, LEAST_PASSAGE = 25, 8
 #: Between passages shorter than LEAST_WORDS: runs of FORMULA words that stand alone in different texts, as many as this share of the documents (and 5), are formulas.
 FORMULA, FORMULA_SHARE, FORMULA_DOCS = (7, 20), 0.0005, 5
 #: Items in one index; more of them go through the documents in several blocks.
-BLOCK = 20_000
+BLOCK = 5_000
 #: Characters folded at a time.
 CHUNK = 750_000
 
@@ -50,7 +50,7 @@ assert Q & (Q - 1) == 0, "windows are built by doubling"
 
 
 class ItemIndex:
-    """The q-grams of the items: a bitmap over hashes first, then sorted hashes with their (item, letter) places."""
+    """The q-grams of the items: sorted hashes, found by their upper bits, with their (item, letter) places."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -69,9 +69,11 @@ class ItemIndex:
         self.item, self.at = of[order], at[order]
         self.hash, self.start = np.unique(h[order], return_index=True)
         self.count = np.diff(np.append(self.start, len(h)))
-        self.bits = max(16, min(26, int(np.log2(max(1, len(self.hash)))) + 5))
-        self.maybe = np.zeros(1 << self.bits, bool)
-        self.maybe[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        # where the hashes with the same upper bits begin
+        self.bits = max(16, min(24, int(np.log2(max(1, len(self.hash)))) + 4))
+        upper = np.bincount((self.hash >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.most = int(upper.max())
+        self.bucket = np.append(0, np.cumsum(upper)).astype(np.int32)
         # word number of each letter, and the letter each word starts at
         self.starts = [np.cumsum([0, *map(len, w)]) for w in self.words]
         # per place in an item: the first word that starts there or later, and the words that end there or before
@@ -85,21 +87,85 @@ class ItemIndex:
         """Positions of ``hashes`` that are q-grams of an item, and their numbers."""
         if not len(self.hash):
             return np.array([], np.int64), np.array([], np.int64)
-        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)])
-        number = np.searchsorted(self.hash, hashes[at])
-        number[number == len(self.hash)] = 0
-        ok = self.hash[number] == hashes[at]
+        upper = (hashes >> np.uint64(64 - self.bits)).view(np.int64)
+        number, end = self.bucket[upper], self.bucket[upper + 1]
+        at = np.flatnonzero(number < end)
+        number, end, own = number[at], end[at], hashes[at]
+        ok = self.hash[number] == own
+        for _ in range(1, self.most):  # of the few that share their upper bits
+            rest = np.flatnonzero(~ok & (number + 1 < end))
+            if not len(rest):
+                break
+            number[rest] += 1
+            ok[rest] = self.hash[number[rest]] == own[rest]
         return at[ok], number[ok]
 
 
 def aligned_words(item: list[str], doc: list[str], diagonal: int, band: int) -> list[tuple[int, int]]:
-    """Banded global-in-item, local-in-document alignment: the (item, document) places of equal words on the best path whose diagonal (document minus item place) stays within ``band`` of
-    ``diagonal``. A match gives 2, an edit costs 1.
+    """Banded alignment, local in both: the (item, document) places of equal words on the best path whose diagonal (document minus item place) stays within ``band`` of
+    ``diagonal``. A match gives 2, an edit (a word left out, put in or changed) costs 1.
 
-    Words of the item are laid on the document's letters, so it doesn't matter where the document breaks them or runs them together; a
-    match starts where a word of the document starts or the item's word before matches, and ends likewise. The place is that of the word in which it starts."""
+    It doesn't matter where the document breaks words or runs them together: where it may do so the item's words are laid on its letters, else on its words, which gives the same and is faster."""
     if not item or not doc:
         return []
+    return _on_letters(item, doc, diagonal, band) if _broken(item, doc) else _on_words(item, doc, diagonal, band)
+
+
+def _broken(item: list[str], doc: list[str]) -> bool:
+    """Whether the document may hold words of the item in pieces or run together: a strange word of it that, alone or with a neighbour, stands in the letters
+    of the item, or two neighbours that are a word of the item together."""
+    known, letters = set(item), "".join(item)
+    before = None
+    for w in doc:
+        if before is not None:
+            both = before + w
+            if both in known or ((w not in known or before not in known) and both in letters):
+                return True
+        if w not in known and len(w) > 3 and w in letters:
+            return True
+        before = w
+    return False
+
+
+def _on_words(item: list[str], doc: list[str], diagonal: int, band: int) -> list[tuple[int, int]]:
+    """The alignment over the places where a word of the item is one of the document. Each takes the best of those before it in both; one that follows on its diagonal is always the best."""
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(doc):
+        places.setdefault(w, []).append(k)
+    score: dict[tuple[int, int], tuple[int, tuple[int, int] | None]] = {}
+    rows: list[tuple[int, list[tuple[int, int]]]] = []
+    best, best_at = 0, None
+    for i, w in enumerate(item):
+        row = []
+        for k in places.get(w, ()):
+            if not -band <= k - i - diagonal <= band:
+                continue
+            if follows := score.get((i - 1, k - 1)):
+                top, came = follows[0], (i - 1, k - 1)
+            else:
+                top, came = 0, None
+                for j, earlier in reversed(rows):
+                    skipped = i - j - 1
+                    if 2 * (j + 1) - skipped <= top:  # no path to there or farther back is worth more
+                        break
+                    for at, s in earlier:
+                        if at < k and s - max(skipped, k - at - 1) > top:
+                            top, came = s - max(skipped, k - at - 1), (j, at)
+            score[(i, k)] = top + 2, came
+            row.append((k, top + 2))
+            if top + 2 > best:
+                best, best_at = top + 2, (i, k)
+        if row:
+            rows.append((i, row))
+    out = []
+    while best_at is not None:
+        out.append(best_at)
+        best_at = score[best_at][1]
+    return out[::-1]
+
+
+def _on_letters(item: list[str], doc: list[str], diagonal: int, band: int) -> list[tuple[int, int]]:
+    """The alignment over the document's letters: a match starts where a word of the document starts or the item's word before matches, and ends likewise; its place is that of the word in which it starts."""
     letters = np.frombuffer("".join(doc).encode("utf-32-le"), np.uint32)
     starts = np.cumsum([0, *map(len, doc)])
     n = len(letters)
@@ -287,29 +353,38 @@ class Scanner:
         ends = np.cumsum(n)
         edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], SLICE), side="right"), len(at)))
         edges[0] = 0
-        shift = np.uint64(64 - int(np.log2(COUNTERS)))
-        half = np.uint64(int(np.log2(BAND // 2)))
-        counters = np.zeros(COUNTERS, np.int32)
+        bits = max(16, min(int(np.log2(COUNTERS)), int(ends[-1]).bit_length() + 1))
+        shift, half = np.uint64(64 - bits), np.uint64(int(np.log2(BAND // 2)))
 
         def slices():
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 m = n[i:j]
-                first = np.repeat(index.start[number[i:j]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                letter = np.repeat(at[i:j].astype(np.int64), m)
+                upto = np.cumsum(m)
+                first = np.arange(upto[-1])
+                first += np.repeat(index.start[number[i:j]] - (upto - m), m)
+                letter = np.repeat(at[i:j], m)
                 # item and half band in one number, spread; 2**32 keeps the diagonal above 0, neighbouring bands differ by _P
-                yield first, letter, ((index.key[first] + letter.view(np.uint64) + np.uint64(1 << 32)) >> half) * _P
+                key = index.key[first]
+                key += letter.view(np.uint64)
+                key += np.uint64(1 << 32)
+                key >>= half
+                key *= _P
+                yield first, letter, key
 
         slot = lambda x: (x >> shift).view(np.int64)
-        for _, _, key in slices():
-            counters += np.bincount(slot(key), minlength=COUNTERS).astype(np.int32)
+        kept = [] if len(edges) > 2 else list(slices())
+        counters = np.zeros(1 << bits, np.int64)
+        for _, _, key in kept or slices():
+            counters += np.bincount(slot(key), minlength=1 << bits)
         most = int(index.at.max())
         place_bits, diagonal_bits = most.bit_length(), (letters + most).bit_length()
         out = []
-        for first, letter, key in slices():
+        for first, letter, key in kept or slices():
             own = counters[slot(key)]
-            ok = own + np.maximum(counters[slot(key - _P)], counters[slot(key + _P)]) >= LEAST_BAND
-            place = index.at[first[ok]].astype(np.int64)
-            out.append((((index.item[first[ok]].astype(np.int64) << diagonal_bits) + letter[ok] - place + most) << place_bits) + place)
+            ok = np.flatnonzero(own + np.maximum(counters[slot(key - _P)], counters[slot(key + _P)]) >= LEAST_BAND)
+            first, letter = first[ok], letter[ok]
+            place = index.at[first].astype(np.int64)
+            out.append((((index.item[first].astype(np.int64) << diagonal_bits) + letter - place + most) << place_bits) + place)
         out = np.sort(np.concatenate(out))
         return out >> (diagonal_bits + place_bits), ((out >> place_bits) & ((1 << diagonal_bits) - 1)) - most, out & ((1 << place_bits) - 1)
 
@@ -347,12 +422,6 @@ class Scanner:
                     break
             else:
                 regions.append([wa, wb, da, db, d])
-        regions = [r for r in regions if r[1] - r[0] + 1 >= LEAST_PASSAGE - 2]
-        covered = set()
-        for r in regions:
-            covered.update(range(r[0], r[1] + 1))
-        if len(covered) < LEAST_WORDS - 5:
-            return []
         return passages(self.index.words[i], doc, [tuple(r[:4]) for r in regions])
 
 
@@ -360,8 +429,11 @@ _SCAN = "doc_id bigint, item_id bigint, first array<int>, last array<int>, words
 
 
 def _scan(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    # one index for all tasks: about 20 kB an item, of which there are at most a block
+    index = documents.sparkSession.sparkContext.broadcast(ItemIndex(items))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(ItemIndex(items))
+        scanner = Scanner(index.value)
         names = [x.split()[0] for x in _SCAN.split(", ")]
         ints = pa.list_(pa.int32())
         types = [pa.int64(), pa.int64(), ints, ints, ints, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
