@@ -230,11 +230,23 @@ def _on_letters(item: list[str], doc: list[str], diagonal: int, band: int) -> li
 
 def passages(item: list[str], doc: list[str], regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
     """Passages (first and last item word, words equal) in the item's order, from regions (first and last item word, document words from, to) that
-    the filter kept. Each region is aligned in its band; of passages over the same item words the longest stays."""
-    found = []
+    the filter kept. Each region is aligned in its band; of passages over the same item words the longest stays. None at all where they can't have LEAST_WORDS together:
+    a region has no more equal words than item words that its part of the document holds."""
+    windows = []
     for a, b, c, d in regions:
         a, b = max(0, a - 6), min(len(item), b + 7)
         c, d = max(0, c - 8), min(len(doc), d + 9)
+        own = set(doc[c:d])
+        most = sum(w in own for w in item[a:b])
+        if most < b - a and _broken(item[a:b], doc[c:d]):
+            most = b - a
+        if most >= LEAST_PASSAGE:
+            windows.append((most, a, b, c, d))
+    ahead, found = sum(w[0] for w in windows), []
+    for most, a, b, c, d in sorted(windows, reverse=True):
+        if sum(f[2] for f in found) + ahead < LEAST_WORDS:
+            return []
+        ahead -= most
         pairs = aligned_words(item[a:b], doc[c:d], 0, max(8, abs((d - c) - (b - a)) + 4) + BAND // 4)
         run: list[tuple[int, int]] = []
         for p in [*pairs, (1 << 30, 1 << 30)]:
