@@ -13,24 +13,31 @@ from pyspark.sql import functions as F
 from millrace.llm.folding import BREAK, DROP, folded_codes, repaired
 from millrace.tables import written
 
-#: The commonest words by documents that hold them stand for themselves; others are classes.
+#: The commonest words of prose stand for themselves; others are classes.
 FUNCTION_WORDS = 300
-#: Words of prose known to the model as such, at most; a word must come so often as against the commonest.
-VOCABULARY, LEAST_RATE = 4000, 5e-4
-#: Order of the model, and the buckets that its n-grams are hashed to: its size is fixed, whatever the corpus.
-ORDER, BUCKETS = 3, 1 << 18
-#: Words that a sentence has to have to count as prose.
-PROSE_WORDS = 6
-#: Tokens on either side that a token's perplexity is averaged over, near and far (evidence: near).
+#: A word of prose is known to the model as such if it comes so often as against the commonest, which by Zipf's law some thousands do, and has this share of all words, so never more than its inverse do.
+LEAST_RATE, LEAST_SHARE = 5e-4, 1e-6
+#: Trigrams of which the model keeps the count: those with this share of all tokens, so never more than its inverse. All pairs of classes are kept.
+TRIGRAM_SHARE = 2e-7
+#: Weight of what the order below says.
+LOWER = 5.0
+#: Words that a sentence has to have to count as prose, and the share of them that must be function words.
+PROSE_WORDS, FUNCTION_SHARE = 6, 0.15
+#: Sentences whose mean bits lie between these multiples of the first model's mean train the second one.
+USUAL = 0.7, 1.3
+#: Tokens on either side that a token's perplexity is averaged over, near and far.
 WINDOWS = 12, 60
-#: Perplexities beyond those of all but this share of the tokens of prose are abnormal, on either side, near or far: (share, evidence that text so abnormal needs).
-#: Evidence: so many of the words around must be keywords, links or tags.
-TAILS = (0.02, 0.2), (0.15, 0.5)
+#: Perplexities beyond those of all but this share of the tokens of prose are abnormal, on either side, near or far.
+TAIL = 0.05
+#: Abnormal text counts where so many of the words around, within so many tokens to either side, are keywords, links or tags.
+EVIDENCE, AROUND = 0.25, 30
 #: A keyword comes so often in a document's abnormal text, makes up so much of its words, and so many times its share in prose; the commonest words of prose never are.
 #: Where all words repeated so make up this much of it together, none needs a share of its own.
 KEYWORD_TIMES, KEYWORD_SHARE, KEYWORD_RATIO, NEVER = 4, 0.03, 10, 50
 KEYWORDS_TOGETHER = 0.5
-#: A link counts as a word per so many characters; so much of a page must be stuffed text; and so much of it abnormal for it to be looked at, or PAGE beyond the wider limits.
+#: A short sentence that comes so often in a page, with a function word in it, is a call or an opening; it has at most so many words.
+CALL_TIMES, CALL_WORDS = 4, 5
+#: A link counts as a word per so many characters; so much of a page must be stuffed text; and so much of it abnormal for it to be looked at.
 LINK_WORD, PAGE, CANDIDATE = 6, 0.5, 0.3
 #: The first words of a sentence, and how many it has to have, in which a word must come again for it to be a keyword.
 OPENING = 6, 9
@@ -42,6 +49,7 @@ CHUNK = 1_500_000
 LINK, RARE, WORD, NUMBER, LINE, OTHER = range(6)
 _PUNCTUATION = ".,;:!?()[]{}<>\"'-–—•·*|/#+=%&@_~€$£«»“”„’‘…"
 _FIRST = OTHER + 1 + len(_PUNCTUATION)
+_CLASSES = _FIRST + FUNCTION_WORDS
 _KIND = np.full(0x3000, OTHER, np.uint16)
 _KIND[[ord(c) for c in _PUNCTUATION]] = OTHER + 1 + np.arange(len(_PUNCTUATION))
 _SIGN = {c: OTHER + 1 + i for i, c in enumerate(_PUNCTUATION)}
@@ -188,41 +196,67 @@ class Vocabulary:
         return np.where(self.sorted[k] == h, self.order[k], -1)
 
 
-def _ngrams(classes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each token's n-gram and of its context, for all orders from 2 to ORDER: arrays [order - 2, token]. Before a document's start stands no class."""
-    grams, contexts = [], []
-    with np.errstate(over="ignore"):
-        context = np.zeros(len(classes), np.uint64)
-        for back in range(1, ORDER):
-            shifted = np.zeros(len(classes), np.uint64)
-            same = doc[back:] == doc[:-back]
-            shifted[back:] = np.where(same, classes[:-back] + 1, 0).astype(np.uint64)
-            context = context * np.uint64(0x100000001B3) + shifted + np.uint64(back)
-            for h, into in ((context * np.uint64(0x100000001B3) + classes.astype(np.uint64) + np.uint64(99), grams), (context, contexts)):
-                h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-                into.append(((h ^ (h >> np.uint64(29))) & np.uint64(BUCKETS - 1)).astype(np.int64))
-    return np.array(grams), np.array(contexts)
+def _contexts(classes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per token the class before it, and both before it as one number. Before a document's start stands class _CLASSES."""
+    before = []
+    for back in (1, 2):
+        c = np.full(len(classes), _CLASSES)
+        c[back:] = np.where(doc[back:] == doc[:-back], classes[:-back], _CLASSES)
+        before.append(c)
+    return before[0], before[1] * (_CLASSES + 1) + before[0]
 
 
 class Model:
-    """Counts of n-grams and contexts by bucket, interpolated from order 1 to ORDER."""
+    """An interpolated trigram model of classes: exact counts of single classes and pairs, and of the trigrams that aren't very rare."""
 
-    def __init__(self, vocabulary: Vocabulary, unigrams: np.ndarray, grams: np.ndarray, contexts: np.ndarray):
+    def __init__(self, vocabulary: Vocabulary, single: np.ndarray, pairs: np.ndarray, contexts: np.ndarray, trigrams: np.ndarray, counts: np.ndarray):
         self.vocabulary = vocabulary
-        base = (unigrams + 0.5) / (unigrams.sum() + 0.5 * len(unigrams))
-        self.base, self.grams, self.contexts = (x.astype(np.float32) for x in (base, grams, contexts))
+        one = (single + 0.5) / (single.sum() + 0.5 * len(single))
+        pairs = pairs.reshape(_CLASSES + 1, _CLASSES)
+        self.two = ((pairs + LOWER * one) / (pairs.sum(1, keepdims=True) + LOWER)).astype(np.float32).ravel()
+        self.contexts = contexts.astype(np.float32)
+        h = self._spread(trigrams)
+        order = np.argsort(h)
+        self.keys, self.counts = np.append(trigrams[order], -1), np.append(counts[order], 0).astype(np.float32)
+        self.width = max(10, int(np.log2(max(1, len(trigrams)))) + 3)
+        upper = np.bincount(h >> np.uint64(64 - self.width), minlength=1 << self.width) if len(h) else np.zeros(1 << self.width, int)
+        self.most = int(upper.max())
+        self.bucket = np.append(0, np.cumsum(upper)).astype(np.int32)
+        # mean bits of what the model was trained on
+        bits = -np.log2(np.maximum(self._three(trigrams, counts), 1e-9))
+        self.entropy = float((bits * counts).sum() / max(1, counts.sum()))
+
+    @staticmethod
+    def _spread(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = keys.astype(np.uint64) * _M
+            return (h ^ (h >> np.uint64(32))) * _M
+
+    def _three(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        context, c = np.divmod(keys, _CLASSES)
+        return (counts + LOWER * self.two[(context % (_CLASSES + 1)) * _CLASSES + c]) / (self.contexts[context] + LOWER)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of trigrams, 0 of those that aren't kept."""
+        upper = (self._spread(keys) >> np.uint64(64 - self.width)).view(np.int64)
+        at, end = self.bucket[upper], self.bucket[upper + 1]
+        out = np.where((at < end) & (self.keys[at] == keys), self.counts[at], 0)
+        for k in range(1, self.most):
+            rest = np.flatnonzero(at + k < end)
+            if not len(rest):
+                break
+            rest = rest[self.keys[at[rest] + k] == keys[rest]]
+            out[rest] = self.counts[at[rest] + k]
+        return out
 
     def bits(self, classes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Bits of each token given those before it: counts of each order, with a weight of 5 for what the order below says."""
-        p = self.base[classes]
-        grams, contexts = _ngrams(classes, doc)
-        for k in range(ORDER - 1):
-            p = (self.grams[k][grams[k]] + 5 * p) / (self.contexts[k][contexts[k]] + 5)
-        return np.maximum(-np.log2(p), 0).astype(np.float64)
-
-    def perplexity(self, t: Tokens, classes: np.ndarray) -> list[np.ndarray]:
+        """Bits of each token given the two before it."""
+        keys = _contexts(classes, doc)[1] * _CLASSES + classes
+        return np.maximum(-np.log2(self._three(keys, self._found(keys))), 0).astype(np.float64)
+
+    def perplexity(self, t: Tokens, classes: np.ndarray, bits: np.ndarray | None = None) -> list[np.ndarray]:
         """Mean bits over the tokens near, and those far around each token (the logarithm of their perplexity)."""
-        bits = self.bits(classes, t.doc)
+        bits = self.bits(classes, t.doc) if bits is None else bits
         return [smooth(bits, t.kind != LINE, t.doc, w) for w in WINDOWS]
 
 
@@ -253,10 +287,26 @@ def _in_document(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return hashes ^ ((doc.astype(np.uint64) + np.uint64(1)) * _M)
 
 
+def calls(t: Tokens, classes: np.ndarray) -> np.ndarray:
+    """Which tokens stand in short sentences that their document has CALL_TIMES times or more, word by word, with a function word in them."""
+    word = np.flatnonzero(t.kind == WORD)
+    short = t.per_sentence(t.kind == WORD) <= CALL_WORDS
+    if not len(word):
+        return np.zeros(len(t.kind), bool)
+    start = np.searchsorted(t.sentence, np.arange(t.sentences))
+    with np.errstate(over="ignore"):
+        place = 2 * (word - start[t.sentence[word]]).astype(np.uint64) + np.uint64(1)
+        whole = np.zeros(t.sentences, np.uint64)
+        np.add.at(whole, t.sentence[word], t.hash[word] * place)
+        whole ^= (t.doc[start].astype(np.uint64) + np.uint64(1)) * _M
+    _, inverse, n = np.unique(whole, return_inverse=True, return_counts=True)
+    return (short & (n[inverse] >= CALL_TIMES) & (t.per_sentence(classes >= _FIRST) > 0))[t.sentence]
+
+
 def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which tokens are links, tags, prices or keywords: links; odd words and what is joined to # or, behind a keyword, to a colon; a number with
     decimals beside a currency; words that make up much of their document's abnormal text, alone or all together, and far more than of prose, but for calls
-    of one or two words that end in an exclamation mark, the first words in a bracket and those that come only where sentences open; and words of the lexicon (documents and words, those of each document)."""
+    of one or two words that end in an exclamation mark, repeated short sentences, the first words in a bracket and those that come only where sentences open; and words of the lexicon (documents and words, those of each document)."""
     kind = t.kind
     is_word = kind == WORD
     word = np.flatnonzero(is_word & abnormal)
@@ -289,7 +339,7 @@ def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Voc
         elsewhere = np.bincount(inverse, ~opens)[inverse]
         out[word[opens & (elsewhere < KEYWORD_TIMES)]] = False
     called = (t.per_sentence(is_word) <= 2) & (t.per_sentence(kind == _SIGN["!"]) > 0)
-    out[called[t.sentence]] = False
+    out[called[t.sentence] | calls(t, classes)] = False
     ahead = lambda x, k=1: np.append(x[k:], np.zeros(min(k, len(x)), x.dtype))
     money = np.isin(kind, [_SIGN[c] for c in "$€£"]) | (is_word & np.isin(t.hash, _CURRENCIES))
     number = kind == NUMBER
@@ -300,15 +350,12 @@ def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Voc
     return out | t.odd | (joined & back(kind == _SIGN["#"])) | (joined & back((kind == _SIGN[":"]) & t.glued) & back(out, 2))
 
 
-def stuffed(t: Tokens, classes: np.ndarray, mean: list[np.ndarray], limits: list[list[tuple[float, float]]], vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def stuffed(t: Tokens, classes: np.ndarray, mean: list[np.ndarray], limits: list[tuple[float, float]], vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which tokens stand in text of abnormal perplexity that is made of keywords, links, tags or prices."""
-    out = np.zeros(len(t.kind), bool)
-    for own, (_, least) in zip(limits, TAILS, strict=True):
-        abnormal = beyond(mean, own)
-        tags = tagged(t, classes, abnormal, vocabulary, lexicon)
-        weight = np.where(t.kind == LINK, t.size / LINK_WORD, ((t.kind == WORD) & (t.size > 1)) | tags)
-        out |= abnormal & (smooth(tags, weight, t.doc) >= least)
-    return out
+    abnormal = beyond(mean, limits)
+    tags = tagged(t, classes, abnormal, vocabulary, lexicon)
+    weight = np.where(t.kind == LINK, t.size / LINK_WORD, ((t.kind == WORD) & (t.size > 1)) | tags)
+    return abnormal & (smooth(tags, weight, t.doc, AROUND) >= EVIDENCE)
 
 
 def share(t: Tokens, which: np.ndarray) -> np.ndarray:
@@ -338,116 +385,142 @@ def _count_rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 _COUNTS = "kind int, key bigint, n bigint"
 
 
-def _add_counts(store: dict[int, tuple[np.ndarray, np.ndarray]], kind: int, keys: np.ndarray) -> None:
-    u, n = np.unique(keys, return_counts=True)
-    if kind in store:
-        u0, n0 = store[kind]
-        u, inverse = np.unique(np.concatenate([u0, u]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([n0, n])).astype(np.int64)
-    store[kind] = u, n
+class Counts:
+    """Counts by key, as sorted arrays; given out and begun again once there are HELD keys."""
 
+    HELD = 1_000_000
 
-def prose_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The ``size`` words that come most often in sentences of prose, counted over all texts."""
+    def __init__(self, kind: int):
+        self.kind, self.keys, self.n = kind, np.array([], np.int64), np.array([], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store: dict = {}
-        for _, part in _chunks(batches):
-            t = Tokens(part)
-            _add_counts(store, 0, t.hash[t.prose() & (t.kind == WORD)].view(np.int64))
-        for kind, (u, n) in store.items():
-            yield _count_rows(kind, u, n)
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, n = np.unique(keys, return_counts=True)
+        self.keys, inverse = np.unique(np.concatenate([self.keys, u]), return_inverse=True)
+        self.n = np.bincount(inverse, np.concatenate([self.n, n])).astype(np.int64)
+        if len(self.keys) >= self.HELD:
+            yield self.rest()
 
-    top = texts.mapInArrow(run, _COUNTS).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size)
-    rows = top.collect()
-    rows = [r for r in rows if r.n >= LEAST_RATE * rows[0].n]
-    return Vocabulary(np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64))
+    def rest(self) -> pa.RecordBatch:
+        out = _count_rows(self.kind, self.keys, self.n)
+        self.__init__(self.kind)
+        return out
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary) -> Model:
-    """The n-gram model of the classes of prose, counted over all texts. Its size is fixed by ORDER and BUCKETS."""
+def prose_vocabulary(texts: DataFrame) -> Vocabulary:
+    """The words that come often in sentences of prose, counted over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((2, ORDER - 1, BUCKETS), np.int64)
-        unigrams = np.zeros(_FIRST + FUNCTION_WORDS, np.int64)
+        words = Counts(0)
         for _, part in _chunks(batches):
             t = Tokens(part)
-            c, ok = t.classes(vocabulary), t.prose()
-            unigrams += np.bincount(c[ok], minlength=len(unigrams))
-            for i, x in enumerate(_ngrams(c, t.doc)):
-                for k in range(ORDER - 1):
-                    dense[i, k] += np.bincount(x[k][ok], minlength=BUCKETS)
-        yield _count_rows(0, np.flatnonzero(unigrams), unigrams[unigrams > 0])
-        for i in range(2):
-            for k in range(ORDER - 1):
-                at = np.flatnonzero(dense[i, k])
-                yield _count_rows(1 + i * (ORDER - 1) + k, at, dense[i, k, at])
-
-    counted = texts.mapInArrow(run, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
-    kind, key, n = (counted.column(i).to_numpy() for i in range(3))
-    unigrams = np.zeros(_FIRST + FUNCTION_WORDS)
-    unigrams[key[kind == 0]] = n[kind == 0]
-    dense = np.zeros((2 * (ORDER - 1), BUCKETS))
-    dense[kind[kind > 0] - 1, key[kind > 0]] = n[kind > 0]
-    return Model(vocabulary, unigrams, dense[: ORDER - 1], dense[ORDER - 1 :])
+            yield from words.add(t.hash[t.prose() & (t.kind == WORD)].view(np.int64))
+        yield words.rest()
+
+    counted = written(texts.mapInArrow(run, _COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "prose-words")
+    most, total = counted.agg(F.max("n"), F.sum("n")).first()
+    rows = counted.where(F.col("n") >= max(LEAST_RATE * (most or 0), LEAST_SHARE * (total or 0))).orderBy(F.desc("n"), "key").toArrow()
+    return Vocabulary(rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy())
+
+
+def clean_prose(t: Tokens, classes: np.ndarray) -> np.ndarray:
+    """Which tokens belong to sentences of prose with their share of function words: pages of keywords have some that look like sentences, but not that."""
+    share_ = t.per_sentence(classes >= _FIRST) / np.maximum(t.per_sentence(t.kind == WORD), 1)
+    return t.prose() & (share_ >= FUNCTION_SHARE)[t.sentence]
 
 
 #: Steps of a bit in the counts of prose perplexities.
 _STEP = 50
+_SINGLE, _PAIR, _CONTEXT, _TRIGRAM, _BITS = 0, 1, 2, 3, 4
 
 
-def abnormal_pages(texts: DataFrame, model, least: float) -> tuple[DataFrame, list[list[tuple[float, float]]], int]:
-    """Documents of whose characters at least ``least`` stand in text of abnormal perplexity, or more than PAGE beyond the widest limits, with their texts, and the limits beyond which
-    it is abnormal, for each of TAILS near and far: those that all but that share of the tokens of prose keep, on either side, counted over all texts; and the number of texts."""
+def train(texts: DataFrame, vocabulary: Vocabulary, first=None) -> tuple[Model, list[tuple[float, float]]]:
+    """The model of the classes of prose, counted over all texts. With the broadcast model of a ``first`` round only sentences that are usual under it train
+    the second, and the limits come out beyond which perplexity is abnormal, near and far: those that all but TAIL of the tokens of such sentences keep, on either side.
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros((len(WINDOWS), 64 * _STEP), np.int64), 0
+    A task holds the counts of classes and their pairs, and of a million trigrams at most; the driver gets the trigrams with TRIGRAM_SHARE of the tokens, so no more than its inverse.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, pair, context = (np.zeros(n, np.int64) for n in (_CLASSES, (_CLASSES + 1) * _CLASSES, (_CLASSES + 1) ** 2))
+        bits = np.zeros((len(WINDOWS), 64 * _STEP), np.int64)
+        trigrams = Counts(_TRIGRAM)
+        known = first.value.vocabulary if first else vocabulary
         for _, part in _chunks(batches):
             t = Tokens(part)
-            n += t.n
-            ok = t.prose()
-            for k, mean in enumerate(model.value.perplexity(t, t.classes(model.value.vocabulary))):
-                counts[k] += np.bincount(np.minimum(mean[ok] * _STEP, counts.shape[1] - 1).astype(int), minlength=counts.shape[1])
-        for k in range(len(WINDOWS)):
-            yield _count_rows(k, np.flatnonzero(counts[k]), counts[k][counts[k] > 0])
-        yield _count_rows(len(WINDOWS), np.array([0]), np.array([n]))
-
-    rows = texts.mapInArrow(measure, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")).orderBy("kind", "key").collect()
+            c = t.classes(known)
+            ok = clean_prose(t, c)
+            if first:
+                own = first.value.bits(c, t.doc)
+                mean = np.bincount(t.sentence, own, t.sentences) / np.maximum(np.bincount(t.sentence, minlength=t.sentences), 1)
+                ok &= ((mean >= USUAL[0] * first.value.entropy) & (mean <= USUAL[1] * first.value.entropy))[t.sentence]
+                for k, m in enumerate(first.value.perplexity(t, c, own)):
+                    bits[k] += np.bincount(np.minimum(m[ok] * _STEP, bits.shape[1] - 1).astype(int), minlength=bits.shape[1])
+            before, both = _contexts(c, t.doc)
+            c, before, both = c[ok], before[ok], both[ok]
+            single += np.bincount(c, minlength=len(single))
+            pair += np.bincount(before * _CLASSES + c, minlength=len(pair))
+            context += np.bincount(both, minlength=len(context))
+            yield from trigrams.add(both * _CLASSES + c)
+        yield trigrams.rest()
+        for kind, n in ((_SINGLE, single), (_PAIR, pair), (_CONTEXT, context), *((_BITS + k, n) for k, n in enumerate(bits))):
+            yield _count_rows(kind, np.flatnonzero(n), n[n > 0])
+
+    counted = written(texts.mapInArrow(run, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "class-counts")
+    tokens = counted.where(F.col("kind") == _SINGLE).agg(F.sum("n")).first()[0] or 0
+    rows = counted.where((F.col("kind") != _TRIGRAM) | (F.col("n") >= TRIGRAM_SHARE * tokens)).toArrow()
+    kind, key, n = (rows.column(i).to_numpy() for i in range(3))
+
+    def dense(k: int, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        out[key[kind == k]] = n[kind == k]
+        return out
+
+    kept = kind == _TRIGRAM
+    model = Model(vocabulary, dense(_SINGLE, _CLASSES), dense(_PAIR, (_CLASSES + 1) * _CLASSES), dense(_CONTEXT, (_CLASSES + 1) ** 2), key[kept].astype(np.int64), n[kept].astype(np.int64))
     limits = []
-    for tail, _ in TAILS:
-        limits.append([])
-        for k in range(len(WINDOWS)):
-            own = np.array([(r.key, r.n) for r in rows if r.kind == k], np.int64).reshape(-1, 2)
-            total = np.cumsum(own[:, 1]) / max(1, own[:, 1].sum())
-            low, high = (int(own[min(np.searchsorted(total, p), len(own) - 1), 0]) if len(own) else 0 for p in (tail, 1 - tail))
-            limits[-1].append((low / _STEP, (high + 1) / _STEP))
+    for k in range(len(WINDOWS)):
+        upto = np.cumsum(dense(_BITS + k, 64 * _STEP))
+        low, high = (int(np.searchsorted(upto, share_ * upto[-1])) for share_ in (TAIL, 1 - TAIL))
+        limits.append((low / _STEP, (high + 1) / _STEP))
+    return model, limits
+
+
+def prose_model(texts: DataFrame) -> tuple[Model, list[tuple[float, float]]]:
+    """The model of prose and the limits of usual perplexity, in two rounds."""
+    vocabulary = prose_vocabulary(texts)
+    first = texts.sparkSession.sparkContext.broadcast(train(texts, vocabulary)[0])
+    return train(texts, vocabulary, first)
+
+
+def abnormal_pages(texts: DataFrame, model, limits: list[tuple[float, float]], least: float) -> DataFrame:
+    """Documents of whose characters at least ``least`` stand in text of abnormal perplexity, with their texts. ``least`` must be no more than PAGE, so that no page that may yet be judged stuffed is left out."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in _chunks(batches):
             t = Tokens(part)
             mean = model.value.perplexity(t, t.classes(model.value.vocabulary))
-            # what is stuffed is beyond the last, widest limits: no page that may yet be judged so is left out
-            at = np.flatnonzero((share(t, beyond(mean, limits[0])) >= least) | (share(t, beyond(mean, limits[-1])) > PAGE))
+            at = np.flatnonzero(share(t, beyond(mean, limits)) >= least)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([part[i] for i in at], pa.string())], ["doc_id", "text"])
 
-    return texts.mapInArrow(score, "doc_id bigint, text string"), limits, sum(r.n for r in rows if r.kind == len(WINDOWS))
+    return texts.mapInArrow(score, "doc_id bigint, text string")
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
     """Pages more than half of which is text that only repeats keywords, or lists of links, or product tags: doc_id, spam_share.
 
-    Function words and word classes of all texts are scored under an n-gram model trained on the sentences of prose among them. Pages
-    with much text of abnormally high or low perplexity are candidates. Lists of names, tables and order papers are abnormal too, so of
-    candidates only text counts whose words are largely links, tags or keywords; keywords are words that a page repeats, or that over all candidates stand mostly in such text.
+    Function words and word classes of all texts are scored under a trigram model trained on the sentences of prose among them, first on those with
+    their share of function words, then on those that are usual under that. Pages with much text of abnormally high or low perplexity are flagged. Lists of names, tables
+    and order papers are abnormal too, so of the flagged ones only text counts whose words are largely links, tags or keywords; keywords are words that a page repeats, or that over all flagged pages stand mostly in such text.
 
-    Texts are passed by four times: words of prose, n-grams, limits, scores; of all texts only counts are shuffled; the candidates' texts and rare words are written and joined, with no
-    limit to the words that are learnt. The model has a fixed size. Null and empty texts and null ids give no row, an empty table none at all.
+    Texts are passed by four times: words of prose, two rounds of n-grams, scores; of all texts only counts are shuffled; the flagged texts and their rare words are written and joined, with no
+    limit to the words that are learnt. The model's size is bounded by its classes. Null and empty texts and null ids give no row, an empty table none at all.
     """
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
     sc = documents.sparkSession.sparkContext
-    model = sc.broadcast(train(texts, prose_vocabulary(texts)))
-    found, limits, total = abnormal_pages(texts, model, CANDIDATE)
-    candidates = written(found, "abnormal-pages")
+    trained, limits = prose_model(texts)
+    model = sc.broadcast(trained)
+    candidates = written(abnormal_pages(texts, model, limits, CANDIDATE), "abnormal-pages")
+    total = texts.count()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in _chunks(batches):

@@ -81,9 +81,8 @@ def test_windows_stay_in_their_document():
     assert (spam.smooth(np.where(doc == 0, 1.0, 5.0), np.ones(100), doc, 12) == np.where(doc == 0, 1.0, 5.0)).all()
 
 
-def test_lexicon_has_no_cap(spark, monkeypatch):
+def test_lexicon_has_no_cap(spark):
     """Pages that name each of many goods once are known by the words of other pages, however many those are."""
-    monkeypatch.setattr(spam, "VOCABULARY", 3)
     rng = random.Random(8)
     goods = [a + b for a in "zor vad mil tek bru nal".split() for b in "quad fenk opri lusk arbo imta ulve ostri egna yspo".split()]
     _, fine = _pages()
@@ -104,13 +103,41 @@ def test_keyword_pages_written_like_sentences(spark):
     one = lambda: " ".join(rng.choice([GOODS[0], rng.choice(DEALS)]) for _ in range(rng.randint(2, 4))).capitalize() + rng.choice(".!?")
     bad = {6000 + k: " ".join(one() for _ in range(50)) for k in range(60)}
     texts = spark.createDataFrame([*fine.items(), *bad.items()], DOCS)
-    model = spark.sparkContext.broadcast(spam.train(texts, spam.prose_vocabulary(texts)))
-    kept, limits = spam.abnormal_pages(texts, model, 2.0)[:2]  # of all that is abnormal only what the wider limits give
+    trained, limits = spam.prose_model(texts)
+    kept = spam.abnormal_pages(texts, spark.sparkContext.broadcast(trained), limits, spam.PAGE)
     t = spam.Tokens([*fine.values(), *bad.values()])
-    mean = model.value.perplexity(t, t.classes(model.value.vocabulary))
-    wide = spam.share(t, spam.beyond(mean, limits[-1])) > spam.PAGE
+    mean = trained.perplexity(t, t.classes(trained.vocabulary))
     ids = np.array([*fine, *bad])
-    assert wide.any() and set(ids[wide].tolist()) == {r.doc_id for r in kept.collect()}
+    assert set(ids[spam.share(t, spam.beyond(mean, limits)) >= spam.PAGE].tolist()) == {r.doc_id for r in kept.collect()} >= set(bad)
+    assert set(bad) <= {r.doc_id for r in spam.spam_pages(texts).collect()}
+
+
+def test_model_against_plain_counts():
+    """Bits of a trigram model against the formula, for texts of few classes."""
+    rng = np.random.default_rng(1)
+    c, doc = rng.integers(0, 9, 4000), np.repeat([0, 1], 2000)
+    before, both = spam._contexts(c, doc)
+    keys, n = np.unique(both * spam._CLASSES + c, return_counts=True)
+    count = lambda x, size: np.bincount(x, minlength=size)
+    single = count(c, spam._CLASSES)
+    model = spam.Model(None, single, count(before * spam._CLASSES + c, (spam._CLASSES + 1) * spam._CLASSES), count(both, (spam._CLASSES + 1) ** 2), keys[::2], n[::2])
+    got = model.bits(c, doc)
+    kept = dict(zip(keys[::2].tolist(), n[::2].tolist(), strict=True))
+    one = (single + 0.5) / (single.sum() + 0.5 * len(single))
+    for i in (0, 1, 2, 17, 1999, 2000, 2001, 3999):
+        a = before[i]
+        two = (((before == a) & (c == c[i])).sum() + 5 * one[c[i]]) / ((before == a).sum() + 5)
+        p = (kept.get(int(both[i] * spam._CLASSES + c[i]), 0) + 5 * two) / ((both == both[i]).sum() + 5)
+        assert got[i] == pytest.approx(max(0, -np.log2(p)), rel=1e-5)
+
+
+def test_calls_and_openings_are_no_keywords():
+    text = " ".join(f"I shall be brief. a {ADJECTIVES[i % 10]} veto {VERBS[i % 7]} this {NOUNS[i % 12]}." for i in range(9)) + " Cheap lamp. " * 9
+    t = spam.Tokens([text])
+    vocabulary = spam.Vocabulary(np.array([spam._hash_of(w) for w in ("i", "a", "be", "shall", "this")], np.uint64), np.array([9, 9, 9, 9, 9]))
+    got = spam.calls(t, t.classes(vocabulary))
+    words = {int(h) for h in t.hash[got]}
+    assert spam._hash_of("brief") in words and spam._hash_of("lamp") not in words and spam._hash_of("veto") not in words
 
 
 def test_many_keywords_on_a_long_page():
