@@ -37,8 +37,8 @@ KEYWORD_TIMES, KEYWORD_SHARE, KEYWORD_RATIO, NEVER = 4, 0.03, 10, 50
 KEYWORDS_TOGETHER = 0.5
 #: A short sentence that comes so often in a page, with a function word in it, is a call or an opening; it has at most so many words.
 CALL_TIMES, CALL_WORDS = 4, 5
-#: A link counts as a word per so many characters; so much of a page must be stuffed text; and so much of it abnormal for it to be looked at.
-LINK_WORD, PAGE, CANDIDATE = 6, 0.5, 0.3
+#: A link counts as a word per so many characters; more than so much of a page must be stuffed text, hence so much abnormal for it to be looked at.
+LINK_WORD, PAGE = 6, 0.5
 #: The first words of a sentence, and how many it has to have, in which a word must come again for it to be a keyword.
 OPENING = 6, 9
 #: A word of the lexicon stands in stuffed text of so many documents (this share of all, but at least so many), and so many times as many as those candidates where it stands elsewhere.
@@ -519,7 +519,7 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     sc = documents.sparkSession.sparkContext
     trained, limits = prose_model(texts)
     model = sc.broadcast(trained)
-    candidates = written(abnormal_pages(texts, model, limits, CANDIDATE), "abnormal-pages")
+    candidates = written(abnormal_pages(texts, model, limits, PAGE), "abnormal-pages")
     total = texts.count()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
