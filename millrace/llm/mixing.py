@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.runs import runs
+from millrace.operators.lookup import lookup_join
 from millrace.tables import written
 
 #: Where the public tokenizers' files are.
@@ -21,14 +24,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _encoders: dict = {}
 
 
-def _encoder(path: str):
-    if path not in _encoders:
+def _encoder(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's content, made once per process."""
+    key = zlib.crc32(vocabulary)
+    if key not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("millrace", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _encoders[key] = tiktoken.Encoding("millrace", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
 def clean_source(c: str | Column) -> Column:
@@ -36,12 +40,14 @@ def clean_source(c: str | Column) -> Column:
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source (spelled evenly), tokens of the whole text; a null text has 0."""
+    """doc_id, source (spelled evenly), tokens of the whole text; a null text has 0. The vocabulary file (some 100 kB) is read by the driver and sent along."""
+    with open(tokenizer, "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(vocabulary.value).encode_ordinary_batch
         for b in batches:
-            n = [len(encode(t)) if t else 0 for t in (x.as_py() for x in b.column(2))]
+            n = [len(x) for x in encode([t or "" for t in b.column(2).to_pylist()], num_threads=1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
     return documents.where(F.col("doc_id").isNotNull()).select("doc_id", clean_source("source").alias("source"), "text").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
@@ -75,7 +81,33 @@ def sainte_lague(weights: list[float] | np.ndarray, seats: int) -> np.ndarray:
     return out
 
 
-def mixture(documents: DataFrame, mix_target: DataFrame, block_tokens: int = 4096, shard_tokens: int = 20_000_000, seed: int = 11, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def chosen(tokens: np.ndarray, quota: int, block_tokens: int) -> np.ndarray:
+    """Which of the records, in their seeded order, fill ``quota`` tokens. The order is cut into blocks of about ``block_tokens``, a record belonging to the block in which it starts, and whole
+    blocks are taken as long as they fit. What is left is filled with single records of the blocks behind, in order, each that still fits, and last with the shortest one left out if half of it fits: so the quota is met to within half a record."""
+    start = np.cumsum(tokens) - tokens
+    ends = np.flatnonzero(np.append(start[1:] // block_tokens != start[:-1] // block_tokens, True)) if len(tokens) else np.array([], int)
+    upto = (start + tokens)[ends]
+    blocks = int(np.searchsorted(upto, quota, side="right"))
+    out = np.zeros(len(tokens), bool)
+    out[: int(ends[blocks - 1]) + 1 if blocks else 0] = True
+    left = quota - (int(upto[blocks - 1]) if blocks else 0)
+    rest = np.flatnonzero(~out)
+    while left > 0:
+        rest = rest[tokens[rest] <= left]
+        if not len(rest):
+            break
+        n = int(np.searchsorted(np.cumsum(tokens[rest]), left, side="right"))
+        out[rest[:n]] = True
+        left -= int(tokens[rest[:n]].sum())
+        rest = rest[n:]
+    rest = np.flatnonzero(~out)
+    if len(rest):
+        least = rest[np.argmin(tokens[rest])]
+        out[least] = tokens[least] <= 2 * left
+    return out
+
+
+def mixture(documents: DataFrame, mix_target: DataFrame, block_tokens: int = 1024, shard_tokens: int = 5_000_000, seed: int = 11, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """Which documents to use how often, so that each source of ``mix_target`` gives its share of as many tokens as all documents have, and a report.
 
     The uses: doc_id, source, tokens, uses (1 or more; a document not used has no row). The report, a row per source of
@@ -83,7 +115,7 @@ def mixture(documents: DataFrame, mix_target: DataFrame, block_tokens: int = 409
 
     All tokens are cut into blocks of ``block_tokens``, which Sainte-Laguë apportionment gives to the sources. A source's blocks are apportioned in the same way to its shards, which documents fall into by a
     seeded hash of their id, by the shards' tokens. Within a shard all documents are used as often as the quota holds the whole shard; for the rest, in
-    seeded order, blocks of documents are chosen until the quota is met, to within half a document. No document is used more than max_repeats times; a source with too little to meet its quota falls short,
+    seeded order, blocks of documents are chosen, and single ones for what they leave, until it is met to within half a document. No document is used more than max_repeats times; a source with too little to meet its quota falls short,
     and no other is given its part, which the report shows.
 
     Only counts are shuffled: texts are read once to count tokens. A shard has about ``shard_tokens`` tokens, whatever the size of its source. Sources are spelled evenly (lower case, ``_``); documents of other sources or none count among all tokens but aren't used. Null or empty
@@ -111,11 +143,33 @@ def mixture(documents: DataFrame, mix_target: DataFrame, block_tokens: int = 409
         return pdf.assign(full=full, rest=want - full * there, repeats=repeats)
 
     given = sizes.groupBy("source").applyInPandas(quotas, "source string, shard int, there bigint, full bigint, rest bigint, repeats bigint")
-    # one row per shard and source: the shards of 20 million tokens of any corpus
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-    placed = named.withColumn("upto", F.sum("tokens").over(order)).join(given, ["source", "shard"])
-    extra = (F.col("tokens") > 0) & (F.col("full") < F.col("repeats")) & (2 * F.col("upto") - F.col("tokens") <= 2 * F.col("rest"))
-    uses = placed.select("doc_id", "source", "tokens", (F.col("full") + F.when(extra, 1).otherwise(0)).alias("uses")).where(F.col("uses") > 0)
+    # a row per shard and source: the shards of any corpus are its tokens / shard_tokens
+    placed = lookup_join(named, given.select("source", "shard", "full", "rest", "repeats"), ["source", "shard"], F.col("doc_id"), "inner")
+    placed = placed.withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    whole = placed.where((F.col("tokens") == 0) | (F.col("full") >= F.col("repeats"))).select("doc_id", "source", "tokens", F.col("full").alias("uses"))
+    ordered = placed.where((F.col("tokens") > 0) & (F.col("full") < F.col("repeats"))).repartition("source", "shard").sortWithinPartitions("source", "shard", "order", "doc_id")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces = None, []
+
+        def done():
+            rows = pa.Table.from_batches(pieces).combine_chunks()
+            tokens, full = rows.column("tokens").to_numpy(), rows.column("full").to_numpy()
+            uses = full + chosen(tokens, int(rows.column("rest")[0].as_py()), block_tokens)
+            table = rows.select(["doc_id", "source", "tokens"]).append_column("uses", pa.array(uses, pa.int64()))
+            return table.filter(pa.array(uses > 0)).combine_chunks().to_batches()
+
+        for key, piece in runs(batches, 2):
+            if pieces and key != now:
+                yield from done()
+                pieces = []
+            now = key
+            pieces.append(piece)
+        if pieces:
+            yield from done()
+
+    columns = ordered.select("source", "shard", "doc_id", "tokens", "full", "rest")
+    uses = columns.mapInArrow(choose, "doc_id bigint, source string, tokens bigint, uses bigint").unionByName(whole.where(F.col("uses") > 0))
     uses = written(uses, "uses")
 
     wanted = spark.createDataFrame([(r.source, r.target_share, plan[r.source][0], plan[r.source][1]) for r in sources], "source string, target_share double, quota_tokens bigint, max_repeats int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +174,8 @@ def summarise(rows: DataFrame, keys: list[str], value: str, epsilon: float = 0.0
 def merge_summaries(summaries: DataFrame, keys: list[str], epsilon: float = 0.002, nodes: int | None = None, fan_in: int = 32) -> DataFrame:
     """One summary per key from many: ``fan_in`` of them at a time, level by level, so no task gets all summaries of a key.
 
-    ``nodes``: above any ``node`` in ``summaries`` (by default found by reading that column). The uncertainty permitted grows by level from
+    ``nodes``: about how many different ``node`` there are in ``summaries`` (by default found by reading that column); it decides the number of levels, of which the
+    last gathers all that a key still has. The uncertainty permitted grows by level from
     ``epsilon / 2`` to ``epsilon`` of the count; the bounds in the result are those accumulated, whatever went into it.
     """
     if nodes is None:
@@ -183,7 +185,7 @@ def merge_summaries(summaries: DataFrame, keys: list[str], epsilon: float = 0.00
     v_type = summaries.schema["v"].dataType.elementType
     names = [*keys, "v", "low", "high", "node"]
 
-    def level(df: DataFrame, permitted: float) -> DataFrame:
+    def level(df: DataFrame, permitted: float, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: dict = {}
             types, now, held = None, None, 0
@@ -216,11 +218,11 @@ def merge_summaries(summaries: DataFrame, keys: list[str], epsilon: float = 0.00
         def emit(done, types):
             yield _batch(names, types[: len(keys)], types[len(keys)].value_type, [(k[:-1], s, k[-1]) for k, s in done.items()])
 
-        up = df.withColumn("node", F.expr(f"cast(node div {fan_in} as int)"))
+        up = df.withColumn("node", F.lit(0) if last else F.expr(f"cast(node div {fan_in} as int)"))
         return up.repartition(*keys, "node").sortWithinPartitions(*keys, "node").mapInArrow(run, _schema(key_fields, v_type))
 
     for i in range(levels):
-        summaries = level(summaries, epsilon * (0.5 + 0.5 * (i + 1) / levels))
+        summaries = level(summaries, epsilon * (0.5 + 0.5 * (i + 1) / levels), i + 1 == levels)
     return summaries
 
 
@@ -255,11 +257,31 @@ def group_percentiles(stat_line: DataFrame, shares: dict[str, float], epsilon: f
     """Percentiles of uint_value per stage_name, stat_name and hostname: each found value's rank is off by at most ``epsilon`` of the
     group's count, and the bound really reached is in ``rank_error``. A group smaller than ``1 / epsilon`` is exact. The value for a share p is that of rank ceil(p n)."""
     parts = summarise(measurements(stat_line), list(keys), "uint_value", epsilon)
-    whole = merge_summaries(parts, list(keys), epsilon, nodes=max(shuffle_partitions(stat_line.sparkSession), 2))
+    whole = merge_summaries(parts, list(keys), epsilon, nodes=_tasks(stat_line))
     return percentiles(whole, list(keys), shares)
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks a shuffle has at most, as the session is set."""
+    spark = df.sparkSession
+    return max(shuffle_partitions(spark), int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 2), 2)
+
+
+def rank_check(rows: DataFrame, found: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Holds percentiles against the rows they are of: keys, n, and whether each value found has a rank within ``rank_error`` of that asked for. Every row is compared with the values of its key."""
+    other = found.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    both = rows.join(other, reduce(lambda a, b: a & b, on))
+    v = F.col(value)
+    counts = both.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.first("rank_error").alias("rank_error"), *[F.sum((v < F.col(c)).cast("bigint")).alias(f"{c}_below") for c in shares], *[F.sum((v <= F.col(c)).cast("bigint")).alias(f"{c}_upto") for c in shares]
+    )
+    rank = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") - 1e-9))
+    ok = [(F.col(f"{c}_below") + 1 <= rank(s) + F.col("rank_error")) & (F.col(f"{c}_upto") >= rank(s) - F.col("rank_error")) for c, s in shares.items()]
+    return counts.select(*keys, "n", "rank_error", reduce(lambda a, b: a & b, ok).alias("within"))
+
+
 def daily_summaries(stat_line: DataFrame, epsilon: float = 0.002) -> DataFrame:
     """A summary per day (of logging) and group, to be kept and merged with those of other days by ``merge_summaries``."""
     parts = summarise(measurements(stat_line), ["day", *KEYS], "uint_value", epsilon)
-    return merge_summaries(parts, ["day", *KEYS], epsilon, nodes=max(shuffle_partitions(stat_line.sparkSession), 2))
+    return merge_summaries(parts, ["day", *KEYS], epsilon, nodes=_tasks(stat_line))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import leakage, mixing, packing, quantiles, sampling, spam
@@ -37,16 +37,27 @@ def p2_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge_summaries(parts, keys, nodes=1024), keys, SHARES)
 
 
+def p2_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per stage and statistic, which take much compressing, held against the lines themselves: is each within its rank_error, and are the errors above 0?"""
+    rows, keys = quantiles.measurements(table(spark, sf_dir, "stat_line")), ["stage_name", "stat_name"]
+    found = quantiles.group_percentiles(table(spark, sf_dir, "stat_line"), SHARES, 0.05, tuple(keys))
+    checked = quantiles.rank_check(rows, found, keys, "uint_value", SHARES)
+    return checked.select(*keys, "n", "within", (F.col("rank_error") <= F.ceil(0.05 * F.col("n"))).alias("bounded"), ((F.col("rank_error") > 0) | (F.col("n") < 200)).alias("compressed"))
+
+
 def p3_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The buffer of each tuple."""
-    return packing.pack_tuples(table(spark, sf_dir, "kv_tuple"), table(spark, sf_dir, "job_info"))
+    """The buffer of each tuple. Tuples of one stream, and those of it with equal lengths (likely duplicates), go to different buffers where that takes no more of them."""
+    rows = table(spark, sf_dir, "kv_tuple")
+    return packing.pack_tuples(rows, table(spark, sf_dir, "job_info"), F.col("stream_id"), _duplicates(), strict=False)
+
+
+def _duplicates() -> Column:
+    return F.when(F.col("stream_id").isNotNull(), F.concat_ws(":", "stream_id", "key_length", "value_length"))
 
 
 def p3_spread_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, where tuples of one stream with equal lengths, likely duplicates, never share a buffer."""
-    rows = table(spark, sf_dir, "kv_tuple")
-    cluster = F.when(F.col("stream_id").isNotNull(), F.concat_ws(":", "stream_id", "key_length", "value_length"))
-    return packing.pack_tuples(rows, table(spark, sf_dir, "job_info"), cluster=cluster)
+    return packing.pack_tuples(table(spark, sf_dir, "kv_tuple"), table(spark, sf_dir, "job_info"), cluster=_duplicates())
 
 
 def p3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +65,12 @@ def p3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p3_buffers(spark, sf_dir))
 
 
+def p3_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per job what was laid, and the fewest buffers that could hold it."""
+    fill = p3_fill(spark, sf_dir)
+    return fill.select("job_id", "tuples", "bytes", "least_buffers", (F.col("buffers") >= F.col("least_buffers")).alias("enough"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuples that had to be split."""
     return packing.split_tuples(p3_buffers(spark, sf_dir))
@@ -78,6 +95,12 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
 
 
+def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of the report: their records, shares and limits, and whether no record is used too often and no source a block beyond its quota."""
+    kept = (F.col("most_uses") <= F.col("max_repeats")) & (F.col("used_tokens") < F.col("quota_tokens") + 1024)
+    return p7_report(spark, sf_dir).select("source", "records", F.round("target_share", 9).alias("target_share"), "max_repeats", kept.alias("kept"))
+
+
 def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spam pages, with the share of their text that is spam."""
     return spam.spam_pages(table(spark, sf_dir, "documents"))
@@ -105,7 +128,7 @@ def p3_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_job_sample, p1_sample_sizes, p2_percentiles, p2_merged_days, p2_measurements, p3_buffers, p3_spread_buffers, p3_fill, p3_sizes, p3_found,
-        p6_leaks, p6_found, p7_mixture, p7_report, p8_pages, p8_found,
+        p1_job_sample, p1_sample_sizes, p2_percentiles, p2_merged_days, p2_measurements, p2_rank_check, p3_buffers, p3_spread_buffers, p3_fill, p3_least, p3_sizes, p3_found,
+        p6_leaks, p6_found, p7_mixture, p7_report, p7_sources, p8_pages, p8_found,
     )
 }

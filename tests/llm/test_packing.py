@@ -33,6 +33,23 @@ def test_same_as_trying_every_bin(items, ordered):
     assert packing.best_fit(sizes, 20, sources, clusters) == _brute(sizes, 20, sources, clusters)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(-1, 2), st.integers(-1, 3)), min_size=1, max_size=40))
+def test_conflicts_that_give_way_cost_no_bin(items):
+    sizes, sources, clusters = map(list, zip(*sorted(items, reverse=True), strict=True))
+    bins = packing.best_fit(sizes, 20, sources, clusters, strict=False)
+    left: dict[int, int] = {}
+    for s, b in zip(sizes, bins, strict=True):
+        assert b in left or all(x < s for x in left.values())  # a bin is opened only if none fits
+        left[b] = left.get(b, 20) - s
+        assert left[b] >= 0
+
+
+def test_one_source_in_all_bins_isnt_searched_for():
+    n = 20_000
+    assert packing.best_fit([1] * n, 2, [0] * n) == list(range(n))
+
+
 def test_decreasing_best_fit_is_near_the_bound():
     import random
 
@@ -76,6 +93,12 @@ def test_odd_rows(spark):
     assert packing.pack_tuples(spark.createDataFrame([], TUPLES), _jobs(spark, [])).count() == 0
 
 
+def test_rows_without_a_job_are_cut_into_shards(spark):
+    rows = [(i, None, 0, 1, 1) for i in range(1000)]
+    packed = packing.pack_tuples(spark.createDataFrame(rows, TUPLES), _jobs(spark, [(1, 100)]), shard_items=100)
+    assert packed.count() == 1000 and packed.where("part_bytes is null and buffer_no is null").count() == 1000
+
+
 def test_conflicts_are_kept_apart(spark):
     rows = [(i, 1, i % 5, 1, 1) for i in range(60)]
     got = packing.pack_tuples(spark.createDataFrame(rows, TUPLES), _jobs(spark, [(1, 1000)]), source=F.col("stream_id")).collect()

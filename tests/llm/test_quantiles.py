@@ -79,3 +79,20 @@ def test_days_merge_to_the_whole(spark, sf_dir):
 def test_floats_with_nan(spark):
     df = spark.createDataFrame([(1.5,), (float("nan"),), (None,), (2.5,)], "x double").selectExpr("1 as k", "x")
     assert [tuple(r) for r in q.percentiles(q.merge_summaries(q.summarise(df, ["k"], "x"), ["k"]), ["k"], {"p100": 1.0}).collect()] == [(1, 2, 2.5, 0)]
+
+
+def test_one_row_per_key_whatever_the_partitions(spark, sf_dir):
+    """Also where a shuffle has far more partitions than the session's setting says."""
+    stat_line = spark.read.parquet(f"{sf_dir}/stat_line.parquet")
+    want = {tuple(r) for r in q.group_percentiles(stat_line, {"p50": 0.5}).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for partitions in ("100", "3"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
+            rows = q.group_percentiles(stat_line, {"p50": 0.5}).collect()
+            assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    wrong = q.merge_summaries(q.summarise(q.measurements(stat_line).repartition(90), ["stat_name"], "uint_value", 0.1), ["stat_name"], 0.1, nodes=2)
+    assert wrong.count() == wrong.select("stat_name").distinct().count()
