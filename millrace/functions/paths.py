@@ -19,3 +19,8 @@ def partition_file(path: Column) -> Column:
     """job, partition, whether it is large, and the chunk of a partition file; nulls if the name is no partition file's."""
     part = lambda i: F.nullif(F.regexp_extract(path, _PARTITION, i), F.lit(""))
     return F.struct(part(1).cast("bigint").alias("job"), part(2).cast("bigint").alias("partition"), (part(3) == "large").alias("large"), part(4).cast("bigint").alias("chunk"))
+
+
+def partition_name(job: int, partition: int, suffix: str = "") -> str:
+    """The name of a partition's file below the output folder."""
+    return f"job_{job}/{partition:08d}.partition{suffix}"

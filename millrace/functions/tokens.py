@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,22 +31,35 @@ def word_ngrams(text: Column, n: int) -> Column:
     The last run takes a single separator with it that ends the text.
     """
     pieces = F.regexp_extract_all(text, F.lit(f"({WORD_CHAR}+{SEPARATOR}*)"), F.lit(1))
-    count = F.size(pieces)
 
-    def run(i: Column) -> Column:
-        raw = F.array_join(F.slice(pieces, i, n), "")
-        bare = F.regexp_replace(raw, f"{SEPARATOR}+$", "")
-        return F.when((i == count - n + 1) & (F.length(raw) - F.length(bare) == 1), raw).otherwise(bare)
+    def runs(both: Column) -> Column:
+        pieces, bare = both["pieces"], both["words"]
+        count = F.size(pieces)
+
+        def run(i: Column) -> Column:
+            last = i + n - 1
+            ends = (last == count) & (F.length(F.get(pieces, last - 1)) - F.length(F.get(bare, last - 1)) == 1)
+            tail = F.when(ends, F.get(pieces, last - 1)).otherwise(F.get(bare, last - 1))
+            return F.concat(F.array_join(F.slice(pieces, i, n - 1), ""), tail) if n > 1 else tail
+
+        return F.when(count >= n, F.transform(F.sequence(F.lit(1), F.greatest(count - n + 1, F.lit(1))), run)).otherwise(F.array().cast("array<string>"))
 
-    return F.when(count >= n, F.transform(F.sequence(F.lit(1), F.greatest(count - n + 1, F.lit(1))), run)).otherwise(F.array().cast("array<string>"))
+    return once(F.struct(pieces.alias("pieces"), words(text).alias("words")), runs)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is evaluated once even where a function in ``then`` uses it for each of many elements: as the variable of an outer function over one element. ``then`` gives an array."""
+    return F.flatten(F.transform(F.array(value), then))
 
 
 def fixed_words(text: Column, size: int) -> Column:
     """The text cut into pieces of ``size`` bytes, the last of which may be shorter; empty for an empty text."""
-    raw = text.cast("binary")
-    length = F.octet_length(raw)
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(length / size).cast("int") - 1, F.lit(0))), lambda i: F.substring(raw, i * size + 1, F.lit(size)).cast("string"))
-    return F.when(length > 0, pieces).otherwise(F.array().cast("array<string>"))
+    def cut(raw: Column) -> Column:
+        length = F.octet_length(raw)
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(length / size).cast("int") - 1, F.lit(0))), lambda i: F.substring(raw, i * size + 1, F.lit(size)).cast("string"))
+        return F.when(length > 0, pieces).otherwise(F.array().cast("array<string>"))
+
+    return once(text.cast("binary"), cut)
 
 
 def lines(text: Column) -> Column:

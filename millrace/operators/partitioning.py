@@ -10,11 +10,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.hashing import murmur3
+from millrace.functions.hashing import hashed_key
 from millrace.tables import written
 
 
@@ -116,6 +116,13 @@ def range_boundaries(df: DataFrame, key: str, weight: str, partitions: int, tie:
     return at.join(F.broadcast(picked), "nr").select("index", F.col(key).alias("key"))
 
 
+def hashed_boundaries(df: DataFrame, key: str, weight: str, partitions: int) -> DataFrame:
+    """Boundaries of the keys' hashes (index, key: 8 bytes), so that parts have equal weight whatever the keys look like: the hash's bytes are compared, not its number.
+    A key's partition is ``partition_of(hashed_key(key), boundaries)``. Equal keys have equal hashes and stay together."""
+    rows = df.select(hashed_key(F.col(key).cast("binary")).alias("key"), F.col(weight).alias("weight"))
+    return range_boundaries(rows, "key", "weight", partitions)
+
+
 def median_boundaries(boundaries: DataFrame, index: str, key: str) -> DataFrame:
     """Of the keys that several nodes chose for each boundary, the lower median: index, key. Per index there is a key per node."""
     return boundaries.groupBy(index).agg(F.expr(f"element_at(array_sort(collect_list({key})), cast((count({key}) - 1) div 2 as int) + 1)").alias(key))
@@ -169,6 +176,21 @@ def reservoir_sample(df: DataFrame, keys: list[str], size: int, seed: int = 7) -
     return df.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).orderBy("__h", *keys).limit(size).drop("__h")
 
 
+def byte_reservoir(df: DataFrame, key: str, value: str, unique: list[str], buffer_bytes: int, seed: int = 7, hashed: bool = False) -> DataFrame:
+    """A sample of tuples that fills half a buffer of ``buffer_bytes``: key (or the 8 bytes of its hash), and as value the size of the tuple it came from, header and all.
+
+    A sampled tuple takes 16 bytes, for its header and value, and its key. The tuples are those whose seeded hash of ``unique`` is least, as many as fit; as none takes less than its header and value, each task keeps no more
+    than half the buffer could hold, and only those are merged.
+    """
+    k, half = F.col(key).cast("binary"), buffer_bytes // 2
+    kept = hashed_key(k) if hashed else k
+    rows = df.select(F.xxhash64(F.lit(seed), *unique).alias("__h"), *[F.col(c).alias(f"__u{i}") for i, c in enumerate(unique)], kept.alias("key"), (F.octet_length(k) + F.octet_length(F.col(value).cast("binary")) + 8).cast("bigint").alias("value"))
+    order = ["__h", *[f"__u{i}" for i in range(len(unique))]]
+    first = rows.where(F.col("key").isNotNull()).orderBy(*order).limit(max(1, half // 16))  # a buffer's worth, for one task
+    upto = F.sum(F.octet_length("key") + 16).over(Window.orderBy(*order))
+    return first.withColumn("__upto", upto).where(F.col("__upto") <= half).select("key", "value")
+
+
 def into_partitions(df: DataFrame, partition: str, partitions: int, order: list[str] | None = None) -> DataFrame:
     """Rows moved to the task of their partition number, partition i to task i, sorted there if ``order`` is given."""
     out = df.repartitionById(partitions, partition)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import logs, order, shared, words
+from millrace.plans import jobruns, logs, order, shared, words
 
-QUERIES = {**words.QUERIES, **order.QUERIES, **logs.QUERIES, **shared.QUERIES}
-SQL = {**words.SQL, **order.SQL, **logs.SQL, **shared.SQL}
+QUERIES = {**words.QUERIES, **order.QUERIES, **logs.QUERIES, **shared.QUERIES, **jobruns.QUERIES}
+SQL = {**words.SQL, **order.SQL, **logs.SQL, **shared.SQL, **jobruns.SQL}

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens
+from millrace.functions.hashing import hashed_key
 from millrace.operators import graph, partitioning, sessions, text
+from millrace.sources import kv
+from millrace.sources.text import text_lines
 
 Step = Callable[..., DataFrame]
 MAPS: dict[str, Step] = {}
@@ -31,7 +34,7 @@ def register(kind: dict[str, Step], name: str) -> Callable[[Step], Step]:
 
 @dataclass(frozen=True)
 class Job:
-    """Where the rows come from and go to, and the steps between. Names that aren't registered are refused when the job is made."""
+    """Where the rows come from and go to, and the steps between. Names that aren't registered are refused when the job is made. ``params`` has the steps' parameters as ``step.parameter``."""
 
     source: str
     sink: str | None = None
@@ -48,9 +51,9 @@ class Job:
 
     def plan(self, rows: DataFrame) -> DataFrame:
         own = lambda step: {k[len(step) + 1 :]: v for k, v in self.params.items() if k.startswith(step + ".")}
-        mapped = MAPS[self.map](rows, **own("map"))
-        reduced = REDUCES[self.reduce](mapped, **own("reduce"))
-        return PARTITIONS[self.partition](reduced, **own("partition"))
+        mapped = MAPS[self.map](rows, **own(self.map))
+        reduced = REDUCES[self.reduce](mapped, **own(self.reduce))
+        return PARTITIONS[self.partition](reduced, **own(self.partition))
 
 
 def run_batches(spark: SparkSession, jobs: Job | list, read: Callable[[str], DataFrame] | None = None) -> list[DataFrame]:
@@ -102,6 +105,26 @@ def map_words(df: DataFrame, value: str) -> DataFrame:
     return df.select(F.explode(tokens.words(F.col(value))).alias("key"), F.lit(1).cast("bigint").alias("value"))
 
 
+@register(MAPS, "lines")
+def map_lines(df: DataFrame, key: str, value: str) -> DataFrame:
+    return text_lines(df, key, value).select("key", "line")
+
+
+@register(MAPS, "line_words")
+def map_line_words(df: DataFrame, key: str, value: str) -> DataFrame:
+    return map_words(text_lines(df, key, value), "line")
+
+
+@register(MAPS, "line_ngrams")
+def map_line_ngrams(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    return map_ngrams(text_lines(df, key, value), "line", n)
+
+
+@register(MAPS, "consecutive_pairs")
+def map_pairs(df: DataFrame, stream: str, pos: str, fragment: str) -> DataFrame:
+    return kv.consecutive_pairs(df, stream, pos, fragment)
+
+
 @register(MAPS, "ngram")
 def map_ngrams(df: DataFrame, value: str, n: int) -> DataFrame:
     return df.select(F.explode(tokens.word_ngrams(F.col(value), n)).alias("key"), F.lit(1).cast("bigint").alias("value"))
@@ -153,6 +176,14 @@ def sum_values(df: DataFrame) -> DataFrame:
     return df.groupBy("key").agg(F.sum("value").alias("value"))
 
 
+@register(REDUCES, "page_rank")
+def reduce_ranks(df: DataFrame, rounds: int, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Rounds of ranks over the edges, all vertices being equal at first."""
+    edges = df.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    ids = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct()
+    return graph.page_rank(edges, ids.withColumn("rank", F.lit(1.0 / max(1, ids.count()))), rounds)
+
+
 @register(REDUCES, "count_duplicates")
 def count_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") > 1)
@@ -169,8 +200,8 @@ def reduce_adjacency(df: DataFrame, source: str = "page", target: str = "target"
 
 
 @register(REDUCES, "click_sessions")
-def reduce_sessions(df: DataFrame, user: str, ts: str, url: str, threshold_us: int) -> DataFrame:
-    return sessions.click_sessions(df, user, ts, url, threshold_us)
+def reduce_sessions(df: DataFrame, user: str, ts: str, url: str, threshold_us: int, tie: list[str] | None = None) -> DataFrame:
+    return sessions.click_sessions(df, user, ts, url, threshold_us, tie=tie)
 
 
 @register(PARTITIONS, "hash")
@@ -183,13 +214,84 @@ def range_partition(df: DataFrame, key: str, partitions: int | None = None) -> D
     return df.repartitionByRange(*[x for x in (partitions, key) if x is not None])
 
 
+@register(PARTITIONS, "boundaries")
+def boundary_partition(df: DataFrame, key: str, weight: str, partitions: int, order: list[str] | None = None) -> DataFrame:
+    """Parts of equal weight by boundaries of the keys, partition i in task i, sorted by ``order``."""
+    return _by_boundaries(df, partitioning.range_boundaries(df, key, weight, partitions), F.col(key), partitions, order or [key])
+
+
+@register(PARTITIONS, "hashed_boundaries")
+def hashed_partition(df: DataFrame, key: str, weight: str, partitions: int, order: list[str] | None = None) -> DataFrame:
+    """The same by boundaries of the keys' hashes."""
+    return _by_boundaries(df, partitioning.hashed_boundaries(df, key, weight, partitions), hashed_key(F.col(key).cast("binary")), partitions, order or [key])
+
+
+def _by_boundaries(df: DataFrame, boundaries: DataFrame, key, partitions: int, order: list[str]) -> DataFrame:
+    cut = [r["key"] for r in boundaries.orderBy("index").collect()]  # at most one per partition
+    return partitioning.into_partitions(df.withColumn("partition", partitioning.partition_of(key, cut)), "partition", partitions, order)
+
+
 @register(PARTITIONS, "uniform")
-def uniform(df: DataFrame, key: str, partitions: int) -> DataFrame:
+def uniform(df: DataFrame, key: str, partitions: int, order: list[str] | None = None) -> DataFrame:
     numbered = df.withColumn("partition", partitioning.uniform_partition(F.col(key), partitions))
-    return partitioning.into_partitions(numbered, "partition", partitions)
+    return partitioning.into_partitions(numbered, "partition", partitions, order)
 
 
 @register(PARTITIONS, "single")
 def single(df: DataFrame) -> DataFrame:
     """All in one file; only for results that fit one."""
     return df.coalesce(1)
+
+
+def sort_job(source: str, sink: str | None, key: str, weight: str, partitions: int, order: list[str] | None = None) -> Job:
+    """All rows sorted: parts of equal weight by sampled boundaries, each sorted."""
+    return Job(source, sink, partition="boundaries", params={"boundaries.key": key, "boundaries.weight": weight, "boundaries.partitions": partitions, "boundaries.order": order or [key]})
+
+
+def fast_sort_job(source: str, sink: str | None, key: str, partitions: int, order: list[str] | None = None) -> Job:
+    """The same for keys that are uniform in their first bytes: no rows are looked at beforehand."""
+    return Job(source, sink, partition="uniform", params={"uniform.key": key, "uniform.partitions": partitions, "uniform.order": order or [key]})
+
+
+def word_count_job(source: str, sink: str | None, key: str, text: str) -> Job:
+    return Job(source, sink, "line_words", "word_count", params={"line_words.key": key, "line_words.value": text})
+
+
+def ngram_count_job(source: str, sink: str | None, key: str, text: str, n: int) -> Job:
+    return Job(source, sink, "line_ngrams", "word_count", params={"line_ngrams.key": key, "line_ngrams.value": text, "line_ngrams.n": n})
+
+
+def page_rank_job(source: str, sink: str | None, rounds: int) -> Job:
+    return Job(source, sink, reduce="page_rank", params={"page_rank.rounds": rounds})
+
+
+def click_sessions_job(source: str, sink: str | None, user: str, ts: str, url: str, threshold_us: int, tie: list[str] | None = None) -> Job:
+    return Job(source, sink, reduce="click_sessions", params={"click_sessions.user": user, "click_sessions.ts": ts, "click_sessions.url": url, "click_sessions.threshold_us": threshold_us, "click_sessions.tie": tie})
+
+
+def link_graph_job(source: str, sink: str | None, line: str) -> Job:
+    return Job(source, sink, "page_links", "adjacency", params={"page_links.line": line})
+
+
+def text_extraction_job(source: str, sink: str | None, line: str) -> Job:
+    return Job(source, sink, "page_texts", params={"page_texts.line": line})
+
+
+def merge_job(source: str, sink: str | None) -> Job:
+    """Many files as one."""
+    return Job(source, sink, partition="single")
+
+
+def sum_values_job(source: str, sink: str | None, value: str) -> Job:
+    return Job(source, sink, "zero_key", "sum_values", "single", params={"zero_key.value": value})
+
+
+def tuple_lengths_jobs(source: str, counts: str, sink: str | None, key: str, value: str) -> list[list[Job]]:
+    """Lengths counted, then merged into one file."""
+    return [[Job(source, counts, "tuple_lengths", "sum_values", params={"tuple_lengths.key": key, "tuple_lengths.value": value})], [merge_job(counts, sink)]]
+
+
+def duplicates_jobs(source: str, counts: str, sink: str | None, stream: str, pos: str, fragment: str) -> list[list[Job]]:
+    """Overlapping pairs of fragments that come more than once, then merged into one file."""
+    params = {"consecutive_pairs.stream": stream, "consecutive_pairs.pos": pos, "consecutive_pairs.fragment": fragment, "count_duplicates.keys": ["key"]}
+    return [[Job(source, counts, "consecutive_pairs", "count_duplicates", params=params)], [merge_job(counts, sink)]]

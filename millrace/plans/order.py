@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,16 +140,9 @@ def consecutive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.consecutive_pairs(li, "l_orderkey", "l_linenumber", "fragment")
 
 
-def shared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two counts from one pass over the lines: per return flag, and per ship mode of the line number."""
-    li = table(spark, sf_dir, "lineitem")
-    both = li.groupingSets([[F.col("l_returnflag")], [F.col("l_linenumber")]], "l_returnflag", "l_linenumber")
-    return both.agg(F.count(F.lit(1)).alias("cnt"))
-
-
 def _written(spark: SparkSession, sf_dir: str, headers: bool) -> str:
-    """Nations as a key/value file in the shared folder."""
-    path = f"{shared_folder(spark).removeprefix('file://')}/kv-{'framed' if headers else 'fixed'}-{abs(hash(sf_dir))}"
+    """Customers as key/value files in a fresh folder of the shared one."""
+    path = f"{shared_folder(spark)}/kv-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "customer").select(F.lpad(F.hex("c_custkey"), 16, "0").alias("key"), F.rpad("c_mktsegment", 12, " ").alias("value"))
     kv.write_kv(rows, path, headers)
     return path
@@ -167,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         total_sort, secondary_sort, sort_validate, sort_validate_merge, gen_sort_records, top_percent, completion_rank, range_boundaries, range_partition_sizes, median_boundaries, range_filter,
-        uniform_partition, hash_partition_balance, merge_single, reservoir_sample, systematic_sample, partition_count_estimate, sample_metadata, consecutive_pairs, shared_scan, scan_kv_framed, scan_fixed_records,
+        uniform_partition, hash_partition_balance, merge_single, reservoir_sample, systematic_sample, partition_count_estimate, sample_metadata, consecutive_pairs, scan_kv_framed, scan_fixed_records,
     )
 }
 
@@ -210,7 +205,6 @@ select job_id, count(*) as pieces, cast(sum(tuples_in) as bigint) as tuples_in,
     "consecutive_pairs": """
 with f as (select l_orderkey, l_linenumber, printf('%016X', l_partkey) as fragment from lineitem)
 select * from (select l_orderkey, l_linenumber, fragment || lead(fragment) over (partition by l_orderkey order by l_linenumber, fragment) as key from f) where key is not null""",
-    "shared_scan": "select l_returnflag, l_linenumber, count(*) as cnt from lineitem group by grouping sets ((l_returnflag), (l_linenumber))",
     "scan_kv_framed": "select printf('%016X', c_custkey) as key, rpad(c_mktsegment, 12, ' ') as value from customer",
     "scan_fixed_records": "select printf('%016X', c_custkey) as key, rpad(c_mktsegment, 12, ' ') as value from customer",
 }

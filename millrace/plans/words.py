@@ -9,7 +9,7 @@ from millrace.functions.tokens import STOP_WORDS
 from millrace.operators import clusters, graph, sessions, text
 from millrace.plans import jobs
 from millrace.sources.text import text_lines as lines_of
-from millrace.tables import table
+from millrace.tables import table, written
 
 K, ROUNDS = 8, 2
 SESSION_US = 6 * 3600 * 1_000_000
@@ -93,11 +93,15 @@ def parse_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.parse_adjacency(lines, "line", 3).select("id", F.posexplode("nbrs").alias("pos", "nbr"))
 
 
-def _rank(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers point to the parts they deliver, and parts that were returned back to who delivered them."""
     li = table(spark, sf_dir, "lineitem")
     s, p = (F.concat(F.lit(x), F.col(c).cast("string")) for x, c in (("s", "l_suppkey"), ("p", "l_partkey")))
-    edges = li.select(s.alias("src"), p.alias("dst")).unionAll(li.where("l_returnflag = 'R'").select(p.alias("src"), s.alias("dst"))).distinct()
+    return li.select(s.alias("src"), p.alias("dst")).unionAll(li.where("l_returnflag = 'R'").select(p.alias("src"), s.alias("dst"))).distinct()
+
+
+def _rank(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    edges = written(_edges(spark, sf_dir), "edges")
     ids = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct()
     n = ids.count()
     return graph.page_rank(edges, ids.withColumn("rank", F.lit(1.0 / n)), rounds).select("id", "degree", F.round("rank", 9).alias("rank"))
