@@ -90,3 +90,14 @@ def random_points(spark: SparkSession, points: int, dimension: int, most: int, s
     """Points with whole coordinates uniform below ``most``: id, coords. They don't depend on the number of tasks."""
     coords = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda d: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), d), F.lit(most)))
     return spark.range(points).select("id", coords.alias("coords"))
+
+
+def random_centres(k: int, dimension: int, most: int, seed: int = 1) -> list[list[int]]:
+    """First centres for random points: ``k`` with whole coordinates uniform below ``most``."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, most, (k, dimension)).tolist()
+
+
+def random_values(spark: SparkSession, data_bytes: int, dimension: int, seed: int = 1) -> DataFrame:
+    """Tuples of random numbers that fill ``data_bytes``, each of 8 bytes for its header, 8 for its id and 8 per number: id, coords."""
+    return random_points(spark, data_bytes // (8 * (dimension + 2)), dimension, 1 << 62, seed)

@@ -171,6 +171,13 @@ def partition_count(input_bytes: int, ratio: float, nodes: int, disks: int, outp
     return -(-per_disk * disks // multiple) * multiple * nodes
 
 
+def partition_count_of(input_bytes: Column, ratio: float, nodes: int, disks: int, output_disks: int, groups: int, partition_bytes: int) -> Column:
+    """The same for a column of sizes."""
+    per_disk = F.greatest(F.ceil(F.floor(F.floor(input_bytes * F.lit(float(ratio))) / (nodes * disks)) / F.lit(float(partition_bytes))), F.lit(1))
+    multiple = math.lcm(disks, groups, output_disks)
+    return (F.ceil(per_disk * disks / multiple) * multiple * nodes).cast("bigint")
+
+
 def reservoir_sample(df: DataFrame, keys: list[str], size: int, seed: int = 7) -> DataFrame:
     """``size`` rows, each set of that size equally likely: those whose seeded hash is least. Each task keeps ``size`` rows, and only those are merged. Rows with equal ``keys`` share their fate, so the keys should be unique."""
     return df.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).orderBy("__h", *keys).limit(size).drop("__h")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import hashed_key
 from millrace.operators import partitioning as parts
 from millrace.operators import sorting
 from millrace.sources import kv
@@ -41,21 +42,31 @@ def secondary_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.selectExpr("o_custkey", "o_orderkey", "lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as before")
 
 
+def _validated(summary: DataFrame) -> DataFrame:
+    return summary.select("first_unordered", "unordered", "records", "duplicates", F.col("checksum").cast("bigint").alias("checksum"))
+
+
 def sort_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Are orders, in the order of their keys, sorted by customer? They aren't."""
-    return sorting.validate(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", ["o_orderkey", "o_custkey"]).withColumn("checksum", F.col("checksum").cast("bigint"))
+    return _validated(sorting.validate(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", ["o_orderkey", "o_custkey"])).drop("checksum")
 
 
 def sort_validate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of the sorted table, from summaries of parts."""
-    rows = parts.numbered(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"])
-    return sorting.merge_summaries(sorting.summarise(rows, "nr", "o_custkey", ["o_orderkey", "o_custkey"], 7)).withColumn("checksum", F.col("checksum").cast("bigint"))
+    """The same of the sorted table, from summaries of parts; and whether it has the checksum of the table as it was."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    rows = parts.numbered(orders, ["o_custkey", "o_orderkey"])
+    done = _validated(sorting.merge_summaries(sorting.summarise(rows, "nr", "o_custkey", ["o_orderkey", "o_custkey"], 7)))
+    before = sorting.checksum_by_partition(orders, ["o_orderkey", "o_custkey"]).agg(F.sum("checksum").alias("before"))
+    return done.crossJoin(before).withColumn("kept", F.col("checksum") == F.col("before")).drop("checksum", "before")  # a row each
 
 
 def gen_sort_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many records as orders, skewed."""
-    r = sorting.sort_records(spark, table(spark, sf_dir, "orders").count(), skewed=True)
-    return r.select("id", F.hex("key").alias("key"), F.octet_length("payload").alias("payload_bytes"))
+    """As many records as orders, skewed: their lengths, and whether a few prefixes of a byte hold more than half of them."""
+    n = table(spark, sf_dir, "orders").count()
+    r = sorting.sort_records(spark, n, skewed=True)
+    heads = r.groupBy(F.substring("key", 1, 1).alias("head")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.octet_length("key") + F.octet_length("payload")).cast("bigint")).alias("bytes"), F.sum((F.octet_length("key") == 10).cast("bigint")).alias("keys"))
+    common = F.sum(F.when(F.col("n") * 32 > F.lit(n), F.col("n")).otherwise(0)) * 2 > F.sum("n")
+    return heads.agg(F.sum("n").alias("records"), F.sum("keys").alias("keys"), F.sum("bytes").alias("bytes"), common.alias("skewed"))
 
 
 def top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +111,11 @@ def uniform_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_partition_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per partition of the spread hash, a partition per row."""
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.pmod(F.xxhash64("o_orderkey"), F.lit(PARTITIONS)).cast("int").alias("partition")).agg(F.count(F.lit(1)).alias("cnt"))
+    """Are orders, cut by boundaries of their keys' hashes, in as many parts as asked for, none of which has more than its share and a row?"""
+    keys = _keys(spark, sf_dir)
+    cut = [r["key"] for r in parts.hashed_boundaries(keys, "key", "bytes", PARTITIONS).orderBy("index").collect()]
+    placed = keys.groupBy(parts.partition_of(hashed_key(F.col("key").cast("binary")), cut).alias("partition")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    return placed.agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), (F.max("bytes") <= 2 * F.sum("bytes") / PARTITIONS + 64).alias("even"))
 
 
 def merge_single(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +125,11 @@ def merge_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 orders."""
-    return parts.reservoir_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100)
+    """100 orders: how many there are, and whether all are orders."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sample = parts.reservoir_sample(orders, ["o_orderkey"], 100)
+    known = sample.join(orders.withColumn("known", F.lit(True)), ["o_orderkey", "o_custkey"], "left")
+    return known.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("distinct_keys"), F.min(F.coalesce("known", F.lit(False))).alias("known"))
 
 
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +138,9 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_count_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partitions per job for partitions of 650 MB on 4 nodes of 8 disks."""
+    """Partitions per job for partitions of 650 MB on 4 nodes of 8 disks, 3 of them for output, in 2 groups."""
     rows = table(spark, sf_dir, "job_info").where(F.col("total_input_size").isNotNull())
-    per_disk = F.greatest(F.ceil(F.floor(F.col("total_input_size") / 32) / F.lit(650e6)), F.lit(1))
-    return rows.select("job_id", (F.ceil(per_disk * 8 / 24) * 24 * 4).cast("bigint").alias("partitions"))
+    return rows.select("job_id", parts.partition_count_of(F.col("total_input_size"), 1.5, 4, 8, 3, 2, 650_000_000).alias("partitions"))
 
 
 def sample_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +200,13 @@ _PARTITIONED = _CUT + ", r as (select k.*, greatest((select count(*) from b wher
 SQL = {
     "total_sort": "select o_orderkey, o_totalprice, o_orderdate, row_number() over (order by o_totalprice, o_orderkey) as place from orders",
     "secondary_sort": "select o_custkey, o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from orders",
+    "sort_validate": """
+with o as (select o_custkey, row_number() over (order by o_orderkey) - 1 as n, lag(o_custkey) over (order by o_orderkey) as before from orders)
+select coalesce(min(n) filter (o_custkey < before), 0) as first_unordered, count(*) filter (o_custkey < before) as unordered, count(*) as records, count(*) filter (o_custkey = before) as duplicates from o""",
+    "sort_validate_merge": "select 0::bigint as first_unordered, 0::bigint as unordered, count(*) as records, count(*) - count(distinct o_custkey) as duplicates, true as kept from orders",
+    "gen_sort_records": "select count(*) as records, count(*) as keys, cast(count(*) * 100 as bigint) as bytes, true as skewed from orders",
+    "hash_partition_balance": f"with k as ({_KEYS}) select {PARTITIONS}::bigint as parts, count(*) as rows, cast(sum(bytes) as bigint) as bytes, true as even from k",
+    "reservoir_sample": "select least(100, count(*)) as n, least(100, count(*)) as distinct_keys, true as known from orders",
     "top_percent": "select o_orderkey, o_totalprice from (select *, row_number() over (order by o_totalprice desc, o_orderkey) as n from orders) where n <= (select count(*) * 5 // 100 from orders)",
     "completion_rank": "select o_custkey, done, row_number() over (order by done, o_custkey) - 1 as rank from (select o_custkey, max(o_orderdate) as done from orders group by 1)",
     "range_boundaries": _CUT + " select cast(index as integer) as index, key from b",
@@ -198,7 +220,7 @@ from part group by 1""",
     "systematic_sample": """
 select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as n, count(*) over () as total from orders)
 where n // (total // 5) < 5 and n % (total // 5) < cast(floor(total * 0.1 / 5) as bigint)""",
-    "partition_count_estimate": "select job_id, cast(ceil(greatest(ceil((total_input_size // 32) / 650e6), 1) * 8 / 24) * 24 * 4 as bigint) as partitions from job_info where total_input_size is not null",
+    "partition_count_estimate": "select job_id, cast(ceil(greatest(ceil((cast(floor(total_input_size * 1.5::double) as bigint) // 32) / 650e6), 1) * 8 / 24) * 24 * 4 as bigint) as partitions from job_info where total_input_size is not null",
     "sample_metadata": """
 with m as (select piece_id, any_value(job_id) as job_id, any_value(tuples_in) as tuples_in, any_value(bytes_in) as bytes_in, any_value(tuples_out) as tuples_out, any_value(bytes_out) as bytes_out, any_value(bytes_mapped) as bytes_mapped from sample_metadata group by piece_id)
 select job_id, count(*) as pieces, cast(sum(tuples_in) as bigint) as tuples_in, cast(sum(bytes_in) as bigint) as bytes_in, cast(sum(tuples_out) as bigint) as tuples_out, cast(sum(bytes_out) as bigint) as bytes_out, cast(sum(bytes_mapped) as bigint) as bytes_mapped from m group by job_id""",

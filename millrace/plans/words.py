@@ -9,14 +9,14 @@ from millrace.functions.tokens import STOP_WORDS
 from millrace.operators import clusters, graph, sessions, text
 from millrace.plans import jobs
 from millrace.sources.text import text_lines as lines_of
-from millrace.tables import table, written
+from millrace.tables import spread, table, written
 
 K, ROUNDS = 8, 2
 SESSION_US = 6 * 3600 * 1_000_000
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,30 +152,61 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.REDUCES["count_duplicates"](table(spark, sf_dir, "orders"), keys=["o_custkey"])
 
 
+def _copies(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """Rows per key as a table of checks: keys that have at least one, whether each has ``least`` to ``most``, whether copies have keys of their own, and whether all are as many as the ratio says to within a twentieth."""
+    per = rows.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("new_key").alias("own"))
+    return per.agg(F.min((F.col("n") >= least) & (F.col("n") <= most)).alias("bounded"), F.min(F.col("n") == F.col("own")).alias("own_keys"), F.sum("n").alias("n"))
+
+
 def ratio_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.MAPS["ratio"](table(spark, sf_dir, "orders").select("o_orderkey"), keys=["o_orderkey"], ratio=1.5)
+    """Each order one and a half times."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    out = _copies(jobs.MAPS["ratio"](o, keys=["o_orderkey"], ratio=1.5), 1, 2)
+    return out.select("bounded", "own_keys", (F.abs(F.col("n") - 1.5 * F.lit(o.count())) <= 0.05 * o.count() + 20).alias("as_many"))
 
 
 def ratio_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.REDUCES["ratio"](table(spark, sf_dir, "orders").select("o_orderkey"), keys=["o_orderkey"], ratio=0.5)
+    """Half of the orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    out = _copies(jobs.REDUCES["ratio"](o, keys=["o_orderkey"], ratio=0.5), 1, 1)
+    return out.select("bounded", "own_keys", (F.abs(F.col("n") - 0.5 * F.lit(o.count())) <= 0.05 * o.count() + 20).alias("as_many"))
 
 
 def gen_random_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many vertices as there are customers."""
-    return graph.random_graph(spark, table(spark, sf_dir, "customer").count(), 0.01, 50)
+    """As many vertices as there are customers: how many, the sum of their ranks, whether degrees and neighbours are within bounds, and whether the mean degree is that of the probability."""
+    n = table(spark, sf_dir, "customer").count()
+    g = graph.random_graph(spark, n, 10 / n, 50)
+    bounded = (F.size("nbrs") <= 50) & F.forall("nbrs", lambda x: (x >= 0) & (x < n))
+    return g.agg(F.countDistinct("id").alias("vertices"), F.round(F.sum("rank"), 6).alias("ranks"), F.min(bounded).alias("bounded"), (F.abs(F.avg(F.size("nbrs")) - 10) <= 1.5).alias("mean"))
 
 
 def gen_power_law_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.power_law_graph(spark, table(spark, sf_dir, "customer").count(), 1, 30)
+    """Vertices that are pointed to by 1 to 30 others: how many, edges against those that were drawn, and whether all is within bounds."""
+    n = table(spark, sf_dir, "customer").count()
+    g = graph.power_law_graph(spark, n, 1, 30)
+    drawn = sum(d * k for d, k in graph.power_law_degrees(n, 1, 30).items())
+    bounded = (F.size("nbrs") <= 30) & F.forall("nbrs", lambda x: (x >= 0) & (x < n))
+    return g.agg(F.countDistinct("id").alias("vertices"), F.round(F.sum("rank"), 6).alias("ranks"), F.min(bounded).alias("bounded"), (F.sum(F.size("nbrs")) == drawn).alias("all_edges"))
+
+
+def _random(points: DataFrame, dimension: int, most: int) -> DataFrame:
+    x = F.explode("coords").alias("x")
+    return points.select("id", F.size("coords").alias("d"), x).agg(
+        F.countDistinct("id").alias("points"), F.min((F.col("d") == dimension) & (F.col("x") >= 0) & (F.col("x") < most)).alias("bounded"), (F.abs(F.avg(F.col("x") / F.lit(float(most))) - 0.5) <= 0.05).alias("uniform")
+    )
 
 
 def gen_kmeans_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.random_points(spark, table(spark, sf_dir, "customer").count(), 6, 1000)
+    """Points, with eight of them as first centres, of which one step is done: do the centres stay within bounds?"""
+    points = clusters.random_points(spark, table(spark, sf_dir, "customer").count(), 6, 1000)
+    centres = clusters.random_centres(8, 6, 1000)
+    after = clusters.step(points, "coords", centres)
+    return _random(points, 6, 1000).withColumn("centres", F.lit(len(after) == 8 and all(0 <= x < 1000 for c in after for x in c)))
 
 
 def gen_ratio_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random tuples of 8 (2 + 4) bytes, as many as fill the size of a job's tuples."""
-    return clusters.random_points(spark, table(spark, sf_dir, "lineitem").count() * 8 // (8 * 6), 4, 1 << 62)
+    return _random(clusters.random_values(spark, table(spark, sf_dir, "lineitem").count() * 8, 4), 4, 1 << 62)
 
 
 QUERIES = {
@@ -277,5 +308,11 @@ s as (
 select user_id, st as start_us, su as start_url, et as end_us, eu as end_url from s where et is not null""",
     "global_sum": "select cast(sum(cast(floor(value * 100) as bigint)) as bigint) as total from events",
     "sum_values": "select l_partkey as key, cast(sum(cast(l_quantity as bigint)) as bigint) as value from lineitem group by 1",
+    "ratio_expand": "select true as bounded, true as own_keys, true as as_many",
+    "ratio_reduce": "select true as bounded, true as own_keys, true as as_many",
+    "gen_random_graph": "select count(*) as vertices, 1.0::double as ranks, true as bounded, true as mean from customer",
+    "gen_power_law_graph": "select count(*) as vertices, 1.0::double as ranks, true as bounded, true as all_edges from customer",
+    "gen_kmeans_points": "select count(*) as points, true as bounded, true as uniform, true as centres from customer",
+    "gen_ratio_data": "select cast(count(*) * 8 // 48 as bigint) as points, true as bounded, true as uniform from lineitem",
     "duplicate_keys": "select o_custkey, count(*) as cnt from orders group by 1 having count(*) > 1",
 }
