@@ -17,7 +17,7 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_files(spark: SparkSession, path: str, most_per_folder: int | None = None) -> DataFrame:
-    """Files below ``path``: path, folder, length. With ``most_per_folder`` only the first so many of each folder, in the order of their names. No content is read."""
+    """Files below ``path``: path, folder, length. With ``most_per_folder`` only the first so many of each folder, in the order of their names. Empty files aren't listed. No content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length")
     if most_per_folder is None:
         return files

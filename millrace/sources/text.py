@@ -9,7 +9,7 @@ from millrace.functions.tokens import lines
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The lines of text files: file, line. Split at line feeds, before which one carriage return goes too; empty lines are left out, an unfinished last one is kept. Files are split among tasks."""
+    """The lines of text files: file, line. Split at line feeds, before which one carriage return goes too (that of an unfinished last line as well); empty lines are left out, an unfinished last one is kept. Files are split among tasks."""
     raw = spark.read.option("lineSep", "\n").text(path)
     line = F.regexp_replace("value", "\r$", "")
     return raw.select(F.input_file_name().alias("file"), line.alias("line")).where(F.col("line") != "")
