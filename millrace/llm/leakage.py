@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.folding import BREAK, DROP, folded_codes, repaired, words
-from millrace.tables import written
+from millrace.tables import spread, written
 
 #: Letters in a q-gram; spaces don't count, so broken lines and words don't matter.
 Q = 8
@@ -471,7 +471,7 @@ def _scan(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 scanner.alone = []
         yield batch([(None,) * 8 + (scanner.docs,)])
 
-    return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, _SCAN)
+    return spread(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInArrow(run, _SCAN)
 
 
 def _counted(found: DataFrame, formula: dict[int, set[int]]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.runs import runs
 from millrace.operators.lookup import lookup_join
-from millrace.tables import written
+from millrace.tables import spread, written
 
 #: Where the public tokenizers' files are.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(x) for x in encode([t or "" for t in b.column(2).to_pylist()], num_threads=1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
-    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", clean_source("source").alias("source"), "text").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
+    return spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", clean_source("source").alias("source"), "text")).mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
 def sainte_lague(weights: list[float] | np.ndarray, seats: int) -> np.ndarray:

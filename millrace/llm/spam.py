@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.folding import BREAK, DROP, folded_codes, repaired
-from millrace.tables import written
+from millrace.tables import spread, written
 
 #: The commonest words of prose stand for themselves; others are classes.
 FUNCTION_WORDS = 300
@@ -515,7 +515,7 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     Texts are passed by four times: words of prose, two rounds of n-grams, scores; of all texts only counts are shuffled; the flagged texts and their rare words are written and joined, with no
     limit to the words that are learnt. The model's size is bounded by its classes. Null and empty texts and null ids give no row, an empty table none at all.
     """
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
+    texts = spread(documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text"))
     sc = documents.sparkSession.sparkContext
     trained, limits = prose_model(texts)
     model = sc.broadcast(trained)
