@@ -386,24 +386,23 @@ _COUNTS = "kind int, key bigint, n bigint"
 
 
 class Counts:
-    """Counts by key, as sorted arrays; given out and begun again once there are HELD keys."""
+    """Counts by key: keys are gathered, and counted and given out once there are HELD of them. What is given out of one key more than once is added up before the shuffle."""
 
-    HELD = 1_000_000
+    HELD = 4_000_000
 
     def __init__(self, kind: int):
-        self.kind, self.keys, self.n = kind, np.array([], np.int64), np.array([], np.int64)
+        self.kind, self.keys, self.n = kind, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, n = np.unique(keys, return_counts=True)
-        self.keys, inverse = np.unique(np.concatenate([self.keys, u]), return_inverse=True)
-        self.n = np.bincount(inverse, np.concatenate([self.n, n])).astype(np.int64)
-        if len(self.keys) >= self.HELD:
+        self.keys.append(keys)
+        self.n += len(keys)
+        if self.n >= self.HELD:
             yield self.rest()
 
     def rest(self) -> pa.RecordBatch:
-        out = _count_rows(self.kind, self.keys, self.n)
-        self.__init__(self.kind)
-        return out
+        keys, n = np.unique(np.concatenate(self.keys or [np.array([], np.int64)]), return_counts=True)
+        self.keys, self.n = [], 0
+        return _count_rows(self.kind, keys, n)
 
 
 def prose_vocabulary(texts: DataFrame) -> Vocabulary:
@@ -437,7 +436,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, first=None) -> tuple[Model,
     """The model of the classes of prose, counted over all texts. With the broadcast model of a ``first`` round only sentences that are usual under it train
     the second, and the limits come out beyond which perplexity is abnormal, near and far: those that all but TAIL of the tokens of such sentences keep, on either side.
 
-    A task holds the counts of classes and their pairs, and of a million trigrams at most; the driver gets the trigrams with TRIGRAM_SHARE of the tokens, so no more than its inverse.
+    A task holds the counts of classes and their pairs, and four million trigrams to be counted at most; the driver gets the trigrams with TRIGRAM_SHARE of the tokens, so no more than its inverse.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +459,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, first=None) -> tuple[Model,
             single += np.bincount(c, minlength=len(single))
             pair += np.bincount(before * _CLASSES + c, minlength=len(pair))
             context += np.bincount(both, minlength=len(context))
-            yield from trigrams.add(both * _CLASSES + c)
+            yield from trigrams.add((both * _CLASSES + c).astype(np.int32))
         yield trigrams.rest()
         for kind, n in ((_SINGLE, single), (_PAIR, pair), (_CONTEXT, context), *((_BITS + k, n) for k, n in enumerate(bits))):
             yield _count_rows(kind, np.flatnonzero(n), n[n > 0])
