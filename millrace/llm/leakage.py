@@ -491,13 +491,14 @@ def _counted(found: DataFrame, formula: dict[int, set[int]]) -> DataFrame:
     return found.mapInArrow(run, "doc_id bigint, item_id bigint, words int, passages int")
 
 
-def leaked_items(documents: DataFrame, eval_item: DataFrame, block: int = BLOCK) -> DataFrame:
+def leaked_items(documents: DataFrame, eval_item: DataFrame, block: int = BLOCK, formula_share: float = FORMULA_SHARE, formula_docs: int = FORMULA_DOCS) -> DataFrame:
     """Documents that repeat at least LEAST_WORDS words of an item in its order, in one passage or several of LEAST_PASSAGE words or more: doc_id, item_id, words, passages.
 
     Both texts are folded to letters and digits without case, accents, punctuation and spacing. The documents are read
     once per ``block`` items: their q-grams are looked up in the items' index, all counted in overlapping diagonal bands, and a (document, item) pair whose bands
     hold stretches of words in common is verified by banded alignment of its words: runs of three words between edits still hold q-grams. Words of
-    procedural formulas (short runs that stand alone in many different texts, counted over all documents, copies and most corrected reissues once) count only inside a longer passage.
+    procedural formulas (short runs that stand alone in many different texts, counted over all documents, copies and most corrected reissues once) count only inside a longer passage. What is common
+    is a matter of the corpus, so this rule depends on it: ``formula_share`` of all documents, and ``formula_docs`` at least; with a share over 1 there are no formulas.
 
     Only the items are sent to the tasks, ``block`` of them at a time, and only candidates and the short runs, a few numbers each, come back: no text
     is shuffled. Null ids and texts find nothing; items of under LEAST_WORDS words can't leak; equal items are found each; an empty table on either side gives no rows.
@@ -510,7 +511,7 @@ def leaked_items(documents: DataFrame, eval_item: DataFrame, block: int = BLOCK)
         scan = written(_scan(documents, [tuple(r) for r in own.collect()]), "leak-scan")
         n = scan.where(F.col("doc_id").isNull() & F.col("item_id").isNull()).agg(F.sum("docs")).first()[0] or 0
         short = scan.where(F.col("word").isNotNull()).select("item_id", F.explode(F.sequence("word", F.col("end") - 1)).alias("word"), "mark").distinct()
-        common = short.groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= max(FORMULA_DOCS, FORMULA_SHARE * n))
+        common = short.groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= max(formula_docs, formula_share * n))
         formula: dict[int, set[int]] = {}
         for item, word in common.select("item_id", "word").collect():  # at most the words of a block of items
             formula.setdefault(item, set()).add(word)

@@ -93,6 +93,13 @@ def test_formulas_dont_count(spark):
     assert _found(spark, docs.items(), items) == {(101, 1)}
 
 
+def test_formulas_can_be_left_uncounted(spark):
+    quoted = {i: " ".join(_text(500 + i, 60) + ITEM[10:30] + _text(600 + i, 60)) for i in range(40)} | {101: " ".join(ITEM[11:29] + _text(404, 60) + ITEM[50:70])}
+    docs, items = spark.createDataFrame(list(quoted.items()), DOCS), spark.createDataFrame([(1, "en", "t", " ".join(ITEM))], ITEMS)
+    assert leakage.leaked_items(docs, items).count() == 0
+    assert [r.doc_id for r in leakage.leaked_items(docs, items, formula_share=2.0).collect()] == [101]
+
+
 def test_copies_are_no_formula_and_long_passages_lose_nothing(spark):
     items = [(1, "en", "t", " ".join(ITEM))]
     page = " ".join(_text(400, 60)) + " " + " ".join(ITEM[10:30]) + " " + " ".join(_text(401, 60))
@@ -139,6 +146,22 @@ def test_against_word_by_word_alignment(sf_dir):
     assert want <= got and len(got - want) <= 1
 
 
+def test_alignment_of_words_is_that_of_letters():
+    """The fast alignment and the one over letters find paths of equal worth."""
+    rng = random.Random(1)
+
+    def worth(path):
+        return sum(2 for _ in path) - sum(max(b[0] - a[0], b[1] - a[1]) - 1 for a, b in zip(path, path[1:], strict=False))
+
+    for _ in range(500):
+        vocabulary = [f"w{chr(97 + i)}{chr(97 + i * 7 % 26)}x" for i in range(rng.choice([3, 8, 20, 60]))]
+        item = [rng.choice(vocabulary) for _ in range(rng.randint(1, 30))]
+        doc = [rng.choice([*vocabulary, "zzzz"]) if rng.random() < 0.5 else item[min(len(item) - 1, k)] for k in range(rng.randint(1, 35))]
+        d, band = rng.choice([0, 0, 2]), rng.choice([3, 8, 24])
+        one, other = leakage._on_words(item, doc, d, band), leakage._on_letters(item, doc, d, band)
+        assert worth(one) == worth(other) and all(item[i] == doc[k] and abs(k - i - d) <= band for i, k in one)
+
+
 @pytest.mark.parametrize("diagonal", [0, 3])
 def test_banded_alignment_finds_the_diagonal(diagonal):
     item = list("abcdefghij")
