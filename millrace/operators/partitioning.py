@@ -144,6 +144,11 @@ def partition_number(key, boundaries: list) -> int:
     return max(0, bisect_right(boundaries, key) - 1)
 
 
+def node_of(partition: Column, per_node: int) -> Column:
+    """The node that a partition, or the boundary with its number, belongs to, where each node has ``per_node`` of them one after another."""
+    return F.floor(partition / per_node).cast("int")
+
+
 def uniform_partition(key: Column, partitions: int) -> Column:
     """The partition of a key by its first three bytes, as if they were uniform; null for a key of fewer."""
     raw = key.cast("binary")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import tokens
 from millrace.functions.hashing import hashed_key
-from millrace.operators import graph, partitioning, sessions, text
+from millrace.operators import graph, partitioning, sessions, sorting, text
 from millrace.sources import kv
 from millrace.sources.text import text_lines
 
@@ -167,7 +167,7 @@ def ratio(df: DataFrame, keys: list[str], ratio: float, seed: int = 3) -> DataFr
 
 @register(REDUCES, "identity")
 def identity(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    return df.orderBy(*order) if order else df
+    return sorting.total_sort(df, order) if order else df
 
 
 @register(REDUCES, "sum_values")
@@ -194,6 +194,11 @@ def reduce_postings(df: DataFrame) -> DataFrame:
     return text.postings(df)
 
 
+@register(REDUCES, "neighbours")
+def reduce_neighbours(df: DataFrame, most: int) -> DataFrame:
+    return graph.gather_neighbours(df, most)
+
+
 @register(REDUCES, "adjacency")
 def reduce_adjacency(df: DataFrame, source: str = "page", target: str = "target") -> DataFrame:
     return graph.adjacency(df, source, target)

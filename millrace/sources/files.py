@@ -25,6 +25,11 @@ def list_files(spark: SparkSession, path: str, most_per_folder: int | None = Non
     return files.withColumn("__nr", rank).where(F.col("__nr") <= most_per_folder).drop("__nr")
 
 
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Each file as one row: path, content. For files of up to 2 GB that make sense only whole; others are read by ranges."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
 def whole_ranges(files: DataFrame, record: int | None = None, split: int = 128 << 20) -> DataFrame:
     """Ranges that cover the files: path, offset, length. Files of records of ``record`` bytes are cut into about ``split`` bytes at record borders (a file that isn't a whole number
     of them is an error); others, whose records are found only from the start, stay whole. Empty files give none."""

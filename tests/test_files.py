@@ -114,3 +114,8 @@ def test_names_and_urls(spark):
     got = spark.createDataFrame([(n,) for n in names], "n string").select(partition_file(F.col("n")).alias("p")).collect()
     assert [(r.p.job, r.p.partition, bool(r.p.large), r.p.chunk) for r in got] == [(4, 12, False, None), (4, 12, True, None), (1, 3, False, 5), (None, None, False, None)]
     assert partition_name(4, 12) == "job_4/00000012.partition"
+
+
+def test_whole_files(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"a\x00b")
+    assert [(os.path.basename(r.path), bytes(r.content)) for r in files.read_whole(spark, str(tmp_path)).collect()] == [("x", b"a\x00b")]

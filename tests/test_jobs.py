@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, partitioning, sessions
+from millrace.operators import graph, partitioning, sessions, sorting
 from millrace.plans import jobs
 
 
@@ -101,3 +101,19 @@ def test_reservoirs(spark):
     assert len(hashed) == 1000 and {len(r.key) for r in hashed} == {8} and {r.value for r in hashed} == {318}
     small = partitioning.byte_reservoir(rows.limit(3), "key", "value", ["id"], 1 << 20)
     assert small.count() == 3
+
+
+def test_orders_of_tasks(spark):
+    rows = spark.range(0, 3000).selectExpr("id", "pmod(xxhash64(id), 40) as key", "pmod(xxhash64(id, 1), 1000) as second").repartition(5)
+    got = sorting.secondary_sort(rows, "key", "second").withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.key, r.task) for r in got}) == 40 and [(r.task, r.key, r.second) for r in got] == sorted((r.task, r.key, r.second) for r in got)
+    whole = jobs.run_batches(spark, jobs.Job("rows", params={"identity.order": ["second", "id"]}), lambda _: rows)[0].collect()
+    assert [(r.second, r.id) for r in whole] == sorted((r.second, r.id) for r in whole)
+    nodes = spark.range(0, 8).select(partitioning.node_of(F.col("id"), 3).alias("n")).collect()
+    assert [r.n for r in nodes] == [0, 0, 0, 1, 1, 1, 2, 2]
+
+
+def test_neighbours_are_cut_before_they_are_listed(spark):
+    edges = spark.range(0, 500).selectExpr("id % 2 as id", "500 - id as target")
+    got = {r.id: r.nbrs for r in jobs.REDUCES["neighbours"](edges, most=3).collect()}
+    assert got == {0: [2, 4, 6], 1: [1, 3, 5]}
