@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.lookup import lookup_join
 from millrace.operators.skew import once_per_id
 from millrace.tables import shuffle_partitions
 
@@ -269,9 +270,7 @@ def _tasks(df: DataFrame) -> int:
 
 def rank_check(rows: DataFrame, found: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Holds percentiles against the rows they are of: keys, n, and whether each value found has a rank within ``rank_error`` of that asked for. Every row is compared with the values of its key."""
-    other = found.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    both = rows.join(other, reduce(lambda a, b: a & b, on))
+    both = lookup_join(rows.select(*keys, value), found.drop("n"), keys, F.col(value), "inner", null_safe=True)
     v = F.col(value)
     counts = both.groupBy(*keys).agg(
         F.count(v).alias("n"), F.first("rank_error").alias("rank_error"), *[F.sum((v < F.col(c)).cast("bigint")).alias(f"{c}_below") for c in shares], *[F.sum((v <= F.col(c)).cast("bigint")).alias(f"{c}_upto") for c in shares]
