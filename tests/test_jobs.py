@@ -117,3 +117,25 @@ def test_neighbours_are_cut_before_they_are_listed(spark):
     edges = spark.range(0, 500).selectExpr("id % 2 as id", "500 - id as target")
     got = {r.id: r.nbrs for r in jobs.REDUCES["neighbours"](edges, most=3).collect()}
     assert got == {0: [2, 4, 6], 1: [1, 3, 5]}
+
+
+def test_sessions_over_batches_are_those_of_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    clicks = [(rng.randint(0, 6) if rng.random() < 0.6 else 99, rng.randint(0, 5000), f"u{i}") for i in range(4000)]
+    want = []
+    for who in {c[0] for c in clicks}:
+        start = None
+        for _, t, url in sorted(c for c in clicks if c[0] == who):
+            if start is None:
+                start = t, url
+            elif t - start[0] >= 37:
+                want.append((who, *start, t, url))
+                start = None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame(clicks, "who int, s int, url string").selectExpr("who", "timestamp_micros(s) as ts", "url")
+        assert sorted(tuple(r) for r in sessions.click_sessions(rows, "who", "ts", "url", 37).collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
