@@ -277,10 +277,6 @@ def smooth(x: np.ndarray, weight: np.ndarray, doc: np.ndarray, window: int = WIN
     return (s[b] - s[a]) / np.maximum(w[b] - w[a], 1e-9)
 
 
-# Codes of currencies.
-_CURRENCIES = np.array([_hash_of(c) for c in ("EUR", "USD", "GBP", "CHF", "SEK", "NOK", "DKK", "JPY", "CAD", "AUD")], np.uint64)
-
-
 def _in_document(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """One number per document and word."""
     with np.errstate(over="ignore"):
@@ -304,9 +300,9 @@ def calls(t: Tokens, classes: np.ndarray) -> np.ndarray:
 
 
 def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Which tokens are links, tags, prices or keywords: links; odd words and what is joined to # or, behind a keyword, to a colon; a number with
-    decimals beside a currency; words that make up much of their document's abnormal text, alone or all together, and far more than of prose, but for calls
-    of one or two words that end in an exclamation mark, repeated short sentences, the first words in a bracket and those that come only where sentences open; and words of the lexicon (documents and words, those of each document)."""
+    """Which tokens are links, tags or keywords: links; words written as tags (behind #, or with a capital or a digit inside); words that make up much of their document's abnormal
+    text, alone or all together, and far more than of prose, but for calls of one or two words that end in an exclamation mark, repeated short sentences, the first words in a bracket
+    and those that come only where sentences open; and words of the lexicon (documents and words, those of each document)."""
     kind = t.kind
     is_word = kind == WORD
     word = np.flatnonzero(is_word & abnormal)
@@ -340,18 +336,11 @@ def tagged(t: Tokens, classes: np.ndarray, abnormal: np.ndarray, vocabulary: Voc
         out[word[opens & (elsewhere < KEYWORD_TIMES)]] = False
     called = (t.per_sentence(is_word) <= 2) & (t.per_sentence(kind == _SIGN["!"]) > 0)
     out[called[t.sentence] | calls(t, classes)] = False
-    ahead = lambda x, k=1: np.append(x[k:], np.zeros(min(k, len(x)), x.dtype))
-    money = np.isin(kind, [_SIGN[c] for c in "$€£"]) | (is_word & np.isin(t.hash, _CURRENCIES))
-    number = kind == NUMBER
-    cents = number & back(t.glued & ((kind == _SIGN["."]) | (kind == _SIGN[","]))) & back(number, 2)
-    price = cents & (ahead(money) | back(money, 3))
-    out |= price | ahead(price, 2) | (money & (back(price) | ahead(price, 3)))
-    joined = t.glued & (is_word | number)
-    return out | t.odd | (joined & back(kind == _SIGN["#"])) | (joined & back((kind == _SIGN[":"]) & t.glued) & back(out, 2))
+    return out | t.odd | (t.glued & (is_word | (kind == NUMBER)) & back(kind == _SIGN["#"]))
 
 
 def stuffed(t: Tokens, classes: np.ndarray, mean: list[np.ndarray], limits: list[tuple[float, float]], vocabulary: Vocabulary, lexicon: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Which tokens stand in text of abnormal perplexity that is made of keywords, links, tags or prices."""
+    """Which tokens stand in text of abnormal perplexity that is made of keywords, links or tags."""
     abnormal = beyond(mean, limits)
     tags = tagged(t, classes, abnormal, vocabulary, lexicon)
     weight = np.where(t.kind == LINK, t.size / LINK_WORD, ((t.kind == WORD) & (t.size > 1)) | tags)
