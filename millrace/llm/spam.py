@@ -70,7 +70,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Tokens:
     """The tokens of a chunk of texts, as arrays: document, kind (of words: WORD or NUMBER), hash of the folded word, characters
-    other than spaces, the number of the sentence (sentences end at line ends and after . ! ?), whether it is glued to the one
+    other than spaces, the number of the sentence (sentences end at line ends and after . ! ?; line ends within a sentence are left out), whether it is glued to the one
     before, and whether it is an odd word (a capital after a small letter in it, or a digit after a letter)."""
 
     def __init__(self, texts: list[str]):
@@ -123,13 +123,32 @@ class Tokens:
         self.size = solid[last] - solid[at]
         self.solid = np.diff(np.append(0, solid[ends]))
         self.doc = np.searchsorted(ends, at, side="right")
+        soft = self._soft(kind, self.doc, case[at])
+        if soft.any():
+            # of a word broken there by a hyphen the first piece stands for the whole
+            line = np.flatnonzero(soft)
+            line = line[line > 1]
+            line = line[(kind[line - 1] == _SIGN["-"]) & self.glued[line - 1] & (kind[line - 2] == WORD) & (self.doc[line - 2] == self.doc[line])]
+            np.add.at(self.size, line - 2, self.size[line - 1] + self.size[line + 1])
+            soft[line - 1] = soft[line + 1] = True
+            self.kind, self.hash, self.odd, self.glued, self.size, self.doc = (x[~soft] for x in (kind, self.hash, self.odd, self.glued, self.size, self.doc))
+            kind = self.kind
         stop = (kind == LINE) | (kind == _SIGN["."]) | (kind == _SIGN["!"]) | (kind == _SIGN["?"])
         new = np.append(True, stop[:-1] & ~stop[1:])
         new[1:] |= np.diff(self.doc) > 0
         self.sentence = np.cumsum(new) - 1
-        self.sentences = int(self.sentence[-1]) + 1 if len(at) else 0
+        self.sentences = int(self.sentence[-1]) + 1 if len(self.doc) else 0
         self.n = len(texts)
 
+    @staticmethod
+    def _soft(kind: np.ndarray, doc: np.ndarray, case: np.ndarray) -> np.ndarray:
+        """Which line ends break a sentence only for the page's width: behind no line end and no sign that ends a sentence, and before a small letter."""
+        out = np.zeros(len(kind), bool)
+        if len(kind) > 2:
+            ends = np.isin(kind[:-2], [LINE, _SIGN["."], _SIGN["!"], _SIGN["?"]])
+            out[1:-1] = (kind[1:-1] == LINE) & ~ends & (kind[2:] == WORD) & (case[2:] == 1) & (doc[:-2] == doc[1:-1]) & (doc[2:] == doc[1:-1])
+        return out
+
     @staticmethod
     def _links(cps, letter, blank) -> Iterator[tuple[int, int]]:
         """Pieces between spaces that hold ://, www. or a dot between letters with a slash after it."""

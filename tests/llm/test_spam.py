@@ -76,6 +76,14 @@ def test_hash_is_of_the_folded_word_wherever_it_stands():
     assert t.doc.tolist()[-2] == 1
 
 
+def test_line_ends_within_sentences_are_left_out():
+    t, plain = spam.Tokens(["The costly court\nof the thre-\natened town sat. It\n\nThe next\n- item\nThird"]), spam.Tokens(["The costly court of the threatened town sat. It\n\nThe next\n- item\nThird"])
+    assert t.kind.tolist() == plain.kind.tolist() and t.sentence.tolist() == plain.sentence.tolist()
+    assert t.size.sum() == t.solid.sum() == plain.size.sum() + 1 and (t.hash[:5] == plain.hash[:5]).all()
+    two = spam.Tokens(["a line\n", "small next"])
+    assert (two.kind == spam.LINE).sum() == 3 and two.doc.tolist() == [0, 0, 0, 0, 1, 1, 1]
+
+
 def test_windows_stay_in_their_document():
     doc = np.repeat([0, 1], 50)
     assert (spam.smooth(np.where(doc == 0, 1.0, 5.0), np.ones(100), doc, 12) == np.where(doc == 0, 1.0, 5.0)).all()
