@@ -43,7 +43,7 @@ LINK_WORD, PAGE = 6, 0.5
 OPENING = 6, 9
 #: A word of the lexicon stands in stuffed text of so many documents (this share of all, but at least so many), and so many times as many as those candidates where it stands elsewhere.
 LEXICON = 5e-5, 2, 2
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 # Classes of tokens; signs and then function words follow.
 LINK, RARE, WORD, NUMBER, LINE, OTHER = range(6)
