@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ FORMULA, FORMULA_SHARE, FORMULA_DOCS = (7, 20), 0.0005, 5
 #: Items in one index; more of them go through the documents in several blocks.
 BLOCK = 5_000
 #: Characters folded at a time.
-CHUNK = 750_000
+CHUNK = 400_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,18 +113,32 @@ def aligned_words(item: list[str], doc: list[str], diagonal: int, band: int) ->
 
 
 def _broken(item: list[str], doc: list[str]) -> bool:
-    """Whether the document may hold words of the item in pieces or run together: a strange word of it that, alone or with a neighbour, stands in the letters
-    of the item, or two neighbours that are a word of the item together."""
+    """Whether the document may hold words of the item in pieces or run together: a strange word of it that, alone or with a neighbour, is several words of the item together; two
+    neighbours that are a word of the item together; or, with a strange one, the beginning of one (which has more pieces)."""
     known, letters = set(item), "".join(item)
-    before = None
+    borders: set[int] = set()
+
+    def whole(x: str, begins: bool) -> bool:
+        """Whether ``x`` stands in the item's letters from the start of a word to the end of one, or ``begins`` a word."""
+        at = letters.find(x)
+        while at >= 0:
+            if not borders:
+                borders.update(accumulate(map(len, item), initial=0))
+            if at in borders and (at + len(x) in borders or (begins and not any(at < k < at + len(x) for k in borders))):
+                return True
+            at = letters.find(x, at + 1)
+        return False
+
+    before, strange_before = None, False
     for w in doc:
+        strange = w not in known
         if before is not None:
             both = before + w
-            if both in known or ((w not in known or before not in known) and both in letters):
+            if both in known or ((strange or strange_before) and both in letters and whole(both, True)):
                 return True
-        if w not in known and len(w) > 3 and w in letters:
+        if strange and len(w) > 3 and w in letters and whole(w, False):
             return True
-        before = w
+        before, strange_before = w, strange
     return False
 
 
@@ -388,12 +403,13 @@ class Scanner:
         counters = np.zeros(1 << bits, np.int64)
         for _, _, key in kept or slices():
             counters += np.bincount(slot(key), minlength=1 << bits)
+        few = np.minimum(counters, 127).astype(np.int8)  # fits the cache; LEAST_BAND is less
         most = int(index.at.max())
         place_bits, diagonal_bits = most.bit_length(), (letters + most).bit_length()
         out = []
         for first, letter, key in kept or slices():
-            own = counters[slot(key)]
-            ok = np.flatnonzero(own + np.maximum(counters[slot(key - _P)], counters[slot(key + _P)]) >= LEAST_BAND)
+            own = few[slot(key)].astype(np.int16)
+            ok = np.flatnonzero(own + np.maximum(few[slot(key - _P)], few[slot(key + _P)]) >= LEAST_BAND)
             first, letter = first[ok], letter[ok]
             place = index.at[first].astype(np.int64)
             out.append((((index.item[first].astype(np.int64) << diagonal_bits) + letter - place + most) << place_bits) + place)
