@@ -198,8 +198,11 @@ class Vocabulary:
     """The commonest words of prose: hashes by rank, and how often each comes."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+        self.order = np.append(np.argsort(hashes), -1)
+        self.sorted = np.append(hashes[self.order[:-1]], np.uint64(0))
+        # where the hashes with the same upper 16 bits begin
+        upper = np.bincount((self.sorted[:-1] >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        self.most, self.bucket = int(upper.max()), np.append(0, np.cumsum(upper)).astype(np.int32)
         self.rates = counts / max(1, counts.sum())
 
     def rate(self, h: np.ndarray) -> np.ndarray:
@@ -209,10 +212,16 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 if it isn't among them."""
-        if not len(self.sorted):
-            return np.full(len(h), -1)
-        k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[k] == h, self.order[k], -1)
+        upper = (h >> np.uint64(48)).view(np.int64)
+        at, end = self.bucket[upper], self.bucket[upper + 1]
+        ok = (at < end) & (self.sorted[at] == h)
+        for _ in range(1, self.most):
+            rest = np.flatnonzero(~ok & (at + 1 < end))
+            if not len(rest):
+                break
+            at[rest] += 1
+            ok[rest] = self.sorted[at[rest]] == h[rest]
+        return np.where(ok, self.order[at], -1)
 
 
 def _contexts(classes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
