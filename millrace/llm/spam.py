@@ -28,9 +28,9 @@ USUAL = 0.7, 1.3
 #: Tokens on either side that a token's perplexity is averaged over, near and far.
 WINDOWS = 12, 60
 #: Perplexities beyond those of all but this share of the tokens of prose are abnormal, on either side, near or far.
-TAIL = 0.05
+TAIL = 0.07
 #: Abnormal text counts where so many of the words around, within so many tokens to either side, are keywords, links or tags.
-EVIDENCE, AROUND = 0.25, 30
+EVIDENCE, AROUND = 0.24, 30
 #: A keyword comes so often in a document's abnormal text, makes up so much of its words, and so many times its share in prose; the commonest words of prose never are.
 #: Where all words repeated so make up this much of it together, none needs a share of its own.
 KEYWORD_TIMES, KEYWORD_SHARE, KEYWORD_RATIO, NEVER = 4, 0.03, 10, 50
