@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,9 @@ from millrace.llm.runs import gathered, runs
 from millrace.operators.lookup import lookup_join
 from millrace.tables import shuffle_partitions, written
 
+#: A group of more rows is spread over several shards, which have so many each (and 16 samples' worth at least).
+SHARD_ROWS = 50_000
+
 
 def hypergeometric(counts: np.ndarray, draws: int, rng: random.Random) -> np.ndarray:
     """How many of ``draws`` records, drawn without replacement, come from each stratum of ``counts`` records. Exact for any
@@ -82,11 +84,13 @@ def _seed(*of) -> int:
 def fixed_size_sample(df: DataFrame, size: int, key: str, group: str, columns: list[str], buffer: int = 4096, seed: int = 17, shards: int | None = None) -> DataFrame:
     """``size`` records of each ``group`` (all if there are fewer), every distinct ``key`` equally likely.
 
-    Columns: ``group``, ``key``, ``columns``, ``population`` (distinct keys of the group). Records are spread by key over
-    ``shards`` tasks (the session's shuffle partitions by default), so copies of a record meet and count once, and a group
-    that holds most records is shared by all tasks. Each task keeps a ``GeometricFile`` per group, one open at a time. Then a
+    Columns: ``group``, ``key``, ``columns``, ``population`` (distinct keys of the group). A group's records are spread by key
+    over ``shards`` shards (by default as many as its rows need, see ``SHARD_ROWS``: one for most), so copies of a record meet
+    and count once, a group that holds most records is shared by all tasks, and shards grow with the rows, not with groups
+    times tasks. Each shard of a group has a ``GeometricFile``, and a task one open at a time. For groups of several shards a
     population-weighted hypergeometric draw says how many records each shard, and in it each segment, gives; as segments are in
-    random order those are its first ones. The same input, seed and ``shards`` give the same sample.
+    random order those are its first ones. A single shard gives all that lives. The same input, seed and ``shards`` give the
+    same sample, whatever the session's partitions.
 
     Totals told elsewhere aren't used. Rows whose key or group is null are no records of a group and are left out; other
     nulls are kept. Records with other keys but equal content are different. An empty table gives no rows.
@@ -94,46 +98,51 @@ def fixed_size_sample(df: DataFrame, size: int, key: str, group: str, columns: l
     if size < 1:
         raise ValueError("size must be 1 or more")
     spark = df.sparkSession
-    shards = shards or shuffle_partitions(spark)
     rows = df.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("__g"), F.col(key).alias("__k"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
-    rows = rows.repartition(shards, "__k").sortWithinPartitions("__g", "__k")
+    if shards:
+        rows = rows.withColumn("__of", F.lit(shards))
+    else:
+        large = rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(SHARD_ROWS, 16 * size))).cast("int").alias("__of")).where(F.col("__of") > 1)
+        rows = lookup_join(rows, written(large, "large-groups"), ["__g"], F.col("__k")).fillna(1, ["__of"])
+    rows = rows.select("__g", F.pmod(F.xxhash64("__k"), F.col("__of")).cast("int").alias("__shard"), "__of", "__k", *[f"__c{i}" for i in range(len(columns))])
+    rows = rows.repartition(shuffle_partitions(spark), "__g", "__shard").sortWithinPartitions("__g", "__shard", "__k")
     payload = [T.StructField(f.name, f.dataType, True) for f in rows.schema]  # rows that tell of segments have nulls
-    extra = [T.StructField("__shard", T.IntegerType()), T.StructField("__segment", T.IntegerType()), T.StructField("__pos", T.LongType()), T.StructField("__live", T.LongType()), T.StructField("__seen", T.LongType())]
+    extra = [T.StructField("__segment", T.IntegerType()), T.StructField("__pos", T.LongType()), T.StructField("__live", T.LongType()), T.StructField("__seen", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        file, now, last, ready = None, None, None, []
+        file, now, of, last, ready = None, None, None, None, []
         schema = None
 
-        def batch(group_, rows_, n, segment=None, pos=None, live=None, seen=None):
-            cols = list(rows_.columns) if rows_ is not None else [pa.array([group_] * n, schema.field(0).type), *[pa.nulls(n, f.type) for f in list(schema)[1:]]]
+        def batch(rows_, n, segment=None, pos=None, live=None, seen=None):
+            cols = list(rows_.columns) if rows_ is not None else [pa.array([x] * n, f.type) for x, f in zip((*now, of), schema, strict=False)] + [pa.nulls(n, f.type) for f in list(schema)[3:]]
             whole = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-            cols += [pa.array([shard] * n, pa.int32()), whole(segment, pa.int32()), whole(pos, pa.int64()), whole(live, pa.int64()), whole(seen, pa.int64())]
+            cols += [whole(segment, pa.int32()), whole(pos, pa.int64()), whole(live, pa.int64()), whole(seen, pa.int64())]
             ready.append(pa.RecordBatch.from_arrays(cols, [*schema.names, *[f.name for f in extra]]))
 
         def segment(number, rows_):
             n = rows_.num_rows
-            batch(now, rows_, n, [number] * n, range(n))
+            batch(rows_, n, [number] * n, range(n))
 
         def close():
             if file is not None:
                 if file.held:
                     segment(*file.flush())
-                batch(now, None, len(file.live), range(len(file.live)), None, file.live, [file.seen] * len(file.live))
+                batch(None, len(file.live), range(len(file.live)), None, file.live, [file.seen] * len(file.live))
 
-        for (g,), piece in runs(batches, 1):
+        for (g, shard), piece in runs(batches, 2):
             schema = piece.schema
-            if file is None or g != now:
+            if file is None or (g, shard) != now:
                 close()
-                yield from gathered(ready, 20_000)
-                file, now, last = GeometricFile(size, buffer, _seed(seed, shard, g)), g, None
-            keys = piece.column(1).to_numpy(zero_copy_only=False)
+                file, now, of, last = GeometricFile(size, buffer, _seed(seed, shard, g)), (g, shard), piece.column(2)[0].as_py(), None
+            keys = piece.column(3).to_numpy(zero_copy_only=False)
             fresh = np.ones(len(keys), bool)
             fresh[1:] = keys[1:] != keys[:-1]
             fresh[0] = last is None or keys[0] != last
             last = keys[-1]
             for number, written_rows in file.add(piece if fresh.all() else piece.filter(pa.array(fresh))):
                 segment(number, written_rows)
+                yield from gathered(ready, 20_000)
+            yield from gathered(ready, 20_000)
         close()
         yield from gathered(ready, 0, last=True)
 
@@ -149,12 +158,12 @@ def fixed_size_sample(df: DataFrame, size: int, key: str, group: str, columns: l
             take += hypergeometric(segments["__live"].to_numpy(), n, rng).tolist()
         return strata[["__g", "__shard", "__segment"]].assign(take=take, population=int(first["__seen"].sum()))
 
-    takes = (
-        log.where(F.col("__live").isNotNull())
-        .select("__g", "__shard", "__segment", "__live", "__seen")
-        .groupBy("__g")
-        .applyInPandas(draw, T.StructType([payload[0], *extra[:2], T.StructField("take", T.LongType()), T.StructField("population", T.LongType())]))
-    )
-    takes = written(takes, "takes")
+    strata = log.where(F.col("__live").isNotNull()).select("__g", "__shard", "__segment", "__live", "__seen", "__of")
+    drawn = (
+        strata.where(F.col("__of") > 1).drop("__of").groupBy("__g")
+        .applyInPandas(draw, T.StructType([*payload[:2], extra[0], T.StructField("take", T.LongType()), T.StructField("population", T.LongType())]))
+    )
+    whole = strata.where(F.col("__of") == 1).select("__g", "__shard", "__segment", F.col("__live").alias("take"), F.col("__seen").alias("population"))
+    takes = written(whole.unionByName(drawn), "takes")
     found = lookup_join(log.where(F.col("__live").isNull()), takes, ["__g", "__shard", "__segment"], F.col("__k"), "inner").where(F.col("__pos") < F.col("take"))
     return found.select(F.col("__g").alias(group), F.col("__k").alias(key), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)], "population")

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from millrace.llm import sampling
 from millrace.llm.sampling import GeometricFile, fixed_size_sample, hypergeometric
 
 SCHEMA = "key_id bigint, job_id bigint, key_ptr binary"
@@ -74,3 +75,32 @@ def test_same_seed_same_sample_and_empty(spark):
     assert fixed_size_sample(spark.createDataFrame([], SCHEMA), 5, "key_id", "job_id", ["key_ptr"]).count() == 0
     with pytest.raises(ValueError):
         fixed_size_sample(df, 0, "key_id", "job_id", [])
+
+
+def test_files_grow_with_the_rows_and_not_with_groups_times_tasks(spark, monkeypatch):
+    logs, written = {}, sampling.written
+    monkeypatch.setattr(sampling, "written", lambda df, name: logs.setdefault(name, written(df, name)))
+    df = spark.range(0, 1200).selectExpr("id as key_id", "id % 60 as job_id")
+    assert fixed_size_sample(df, 5, "key_id", "job_id", [], buffer=128).count() == 300
+    assert logs["geometric-file"].where("__live is not null").select("__g", "__shard").distinct().count() == 60
+
+
+def test_large_groups_are_spread_over_shards(spark, monkeypatch):
+    logs, written = {}, sampling.written
+    monkeypatch.setattr(sampling, "written", lambda df, name: logs.setdefault(name, written(df, name)))
+    monkeypatch.setattr(sampling, "SHARD_ROWS", 100)
+    df = spark.range(0, 1000).selectExpr("id as key_id", "if(id < 950, 1L, id) as job_id")
+    got = fixed_size_sample(df.union(df), 5, "key_id", "job_id", [], buffer=2).collect()
+    assert sorted((r.job_id, r.population) for r in got) == [(1, 950)] * 5 + [(i, 1) for i in range(950, 1000)]
+    assert {r.job_id: r.n for r in logs["geometric-file"].groupBy("__g").agg({"__shard": "max"}).toDF("job_id", "n").where("n > 0").collect()} == {1: 18}
+
+
+def test_sample_is_the_same_whatever_the_partitions(spark):
+    df, found, before = spark.range(0, 400).selectExpr("id as key_id", "id % 3 as job_id"), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("3", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append({r.key_id for r in fixed_size_sample(df, 10, "key_id", "job_id", [], buffer=4).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
