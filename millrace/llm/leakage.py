@@ -20,7 +20,7 @@ BAND = 64
 #: Common q-grams that a band must hold. Words wholly in runs of them: so many in a stretch of a band with no more than so many words between runs, and in all
 #: for a document and an item to be aligned.
 LEAST_BAND, BAND_WORDS, STRETCH_GAP, PAIR_WORDS = 16, 6, 8, 18
-#: Counters of bands, by hash (a shared one only lets more through), and hits looked at in one go.
+#: Counters of bands, one for each if there are enough, else by hash (a shared one only lets more through), and hits looked at in one go.
 COUNTERS, SLICE = 1 << 22, 4_000_000
 #: Words of an item that a document must repeat, and words that one passage must have to count.
 LEAST_WORDS, LEAST_PASSAGE = 25, 8
@@ -82,7 +82,8 @@ class ItemIndex:
         self.base = np.cumsum([0, *map(len, places)])
         self.first_word = join([np.searchsorted(x, p, side="left") for x, p in zip(self.starts, places, strict=True)], np.int64)
         self.last_word = join([np.searchsorted(x, p, side="right") - 1 for x, p in zip(self.starts, places, strict=True)], np.int64)
-        self.key = (self.item.astype(np.uint64) << np.uint64(36)) - self.at.astype(np.uint64)
+        # item and place in one number; 2**32 keeps the diagonal above 0
+        self.key = (self.item.astype(np.uint64) << np.uint64(36)) - self.at.astype(np.uint64) + np.uint64(1 << 32)
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ``hashes`` that are q-grams of an item, and their numbers."""
@@ -148,7 +149,7 @@ def _on_words(item: list[str], doc: list[str], diagonal: int, band: int) -> list
     for k, w in enumerate(doc):
         places.setdefault(w, []).append(k)
     score: dict[tuple[int, int], tuple[int, tuple[int, int] | None]] = {}
-    rows: list[tuple[int, list[tuple[int, int]]]] = []
+    rows: list[tuple[int, list[tuple[int, int]], int]] = []  # with the best score up to there
     best, best_at = 0, None
     for i, w in enumerate(item):
         row = []
@@ -159,9 +160,9 @@ def _on_words(item: list[str], doc: list[str], diagonal: int, band: int) -> list
                 top, came = follows[0], (i - 1, k - 1)
             else:
                 top, came = 0, None
-                for j, earlier in reversed(rows):
+                for j, earlier, upto in reversed(rows):
                     skipped = i - j - 1
-                    if 2 * (j + 1) - skipped <= top:  # no path to there or farther back is worth more
+                    if upto - skipped <= top:  # no path to there or farther back is worth more
                         break
                     for at, s in earlier:
                         if at < k and s - max(skipped, k - at - 1) > top:
@@ -171,7 +172,7 @@ def _on_words(item: list[str], doc: list[str], diagonal: int, band: int) -> list
             if top + 2 > best:
                 best, best_at = top + 2, (i, k)
         if row:
-            rows.append((i, row))
+            rows.append((i, row, best))
     out = []
     while best_at is not None:
         out.append(best_at)
@@ -282,7 +283,9 @@ def _marks(hashes: np.ndarray, letters: np.ndarray, first: np.ndarray) -> np.nda
     """A number per text from the least of its q-grams under two orders: equal for copies, mostly equal for corrected reissues, and for
     other texts only by what they share of both."""
     with np.errstate(over="ignore"):
-        across = np.convolve(letters == BREAK, np.ones(Q, bool), "valid") > 0  # q-grams over the end of a text
+        across = np.zeros(len(hashes), bool)  # q-grams over the end of a text
+        over = np.flatnonzero(letters == BREAK)[:, None] - np.arange(Q)
+        across[over[(over >= 0) & (over < len(hashes))]] = True
         own = np.minimum(first, len(hashes) - 1)
         a, b = (np.minimum.reduceat(np.where(across, ~np.uint64(0), hashes * np.uint64(k)), own) for k in (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
         return (a * _P ^ b).view(np.int64)
@@ -326,7 +329,8 @@ class Scanner:
             return []
         starts = np.append(0, bounds[:-1] + Q)
         # the document of each letter, by number; the order is that of item, diagonal and place
-        doc = (np.searchsorted(starts, kept, side="right") - 1)[diagonal + place]
+        upto = np.append(np.searchsorted(kept, starts), len(kept))
+        doc = np.repeat(np.arange(len(starts)), np.diff(upto))[diagonal + place]
         # runs on one diagonal
         new = np.ones(len(place), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] - place[:-1] > Q)
@@ -369,7 +373,7 @@ class Scanner:
                 alone[p] = False
         apart = alone[inverse]
         if apart.any():
-            marks = _marks(hashes, letters, np.searchsorted(kept, starts))
+            marks = _marks(hashes, letters, upto[:-1])
             self._keep_alone(r_item[apart], r_from[apart], r_to[apart], marks[pair[apart] // len(self.index.ids)])
         return out
 
@@ -383,6 +387,13 @@ class Scanner:
         bits = max(16, min(int(np.log2(COUNTERS)), int(ends[-1]).bit_length() + 1))
         shift, half = np.uint64(64 - bits), np.uint64(int(np.log2(BAND // 2)))
 
+        most = int(index.at.max())
+        # half bands of an item, with one to spare at either end, in multiples that keep the borders of bands
+        lift = -(-most // (BAND // 2)) * (BAND // 2) + BAND // 2
+        halves = (letters + lift) // (BAND // 2) + 2
+        direct = halves * len(index.ids) <= COUNTERS
+        base = index.item.astype(np.int64) * (halves * (BAND // 2)) - index.at + lift if direct else index.key
+
         def slices():
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 m = n[i:j]
@@ -390,26 +401,29 @@ class Scanner:
                 first = np.arange(upto[-1])
                 first += np.repeat(index.start[number[i:j]] - (upto - m), m)
                 letter = np.repeat(at[i:j], m)
-                # item and half band in one number, spread; 2**32 keeps the diagonal above 0, neighbouring bands differ by _P
-                key = index.key[first]
-                key += letter.view(np.uint64)
-                key += np.uint64(1 << 32)
-                key >>= half
-                key *= _P
+                # item and half band in one number, spread; neighbouring bands differ by _P
+                key = base[first]
+                key += letter.view(key.dtype)
+                if direct:
+                    key >>= int(half)
+                else:
+                    key >>= half
+                    key *= _P
                 yield first, letter, key
 
-        slot = lambda x: (x >> shift).view(np.int64)
+        slot = lambda x: x if direct else (x >> shift).view(np.int64)
         kept = [] if len(edges) > 2 else list(slices())
-        counters = np.zeros(1 << bits, np.int64)
+        counters = np.zeros(halves * len(index.ids) if direct else 1 << bits, np.int32)
         for _, _, key in kept or slices():
-            counters += np.bincount(slot(key), minlength=1 << bits)
-        few = np.minimum(counters, 127).astype(np.int8)  # fits the cache; LEAST_BAND is less
-        most = int(index.at.max())
+            np.add.at(counters, slot(key), np.int32(1))
+        few = np.minimum(counters, np.int32(63), out=np.empty(len(counters), np.int8), casting="unsafe")  # fits the cache; LEAST_BAND is less
+        del counters
+        if direct:
+            dense = np.append(np.append(False, few[1:-1] + np.maximum(few[:-2], few[2:]) >= LEAST_BAND), False)
         place_bits, diagonal_bits = most.bit_length(), (letters + most).bit_length()
         out = []
         for first, letter, key in kept or slices():
-            own = few[slot(key)].astype(np.int16)
-            ok = np.flatnonzero(own + np.maximum(few[slot(key - _P)], few[slot(key + _P)]) >= LEAST_BAND)
+            ok = np.flatnonzero(dense[key] if direct else few[slot(key)] + np.maximum(few[slot(key - _P)], few[slot(key + _P)]) >= LEAST_BAND)
             first, letter = first[ok], letter[ok]
             place = index.at[first].astype(np.int64)
             out.append((((index.item[first].astype(np.int64) << diagonal_bits) + letter - place + most) << place_bits) + place)
@@ -418,12 +432,9 @@ class Scanner:
 
     def _keep_alone(self, item, first, last, mark):
         """Keeps short runs, with the mark of their text, of pairs that share no more."""
-        for k in np.unique(item).tolist():
-            own = item == k
-            a = np.searchsorted(self.index.starts[k], first[own], side="left")
-            b = np.searchsorted(self.index.starts[k], last[own], side="right") - 1
-            ok = (b - a >= FORMULA[0]) & (b - a <= FORMULA[1])
-            self.alone += zip([self.index.ids[k]] * int(ok.sum()), a[ok].tolist(), b[ok].tolist(), mark[own][ok].tolist(), strict=True)
+        a, b = self.index.first_word[self.index.base[item] + first], self.index.last_word[self.index.base[item] + last]
+        ok = (b - a >= FORMULA[0]) & (b - a <= FORMULA[1])
+        self.alone += zip(np.asarray(self.index.ids)[item[ok]].tolist(), a[ok].tolist(), b[ok].tolist(), mark[ok].tolist(), strict=True)
 
     def _tokens(self, letters, kept, codes, a, b):
         """The words of a document and, per word, the number of its first letter in the chunk's letters."""

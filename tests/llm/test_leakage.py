@@ -1,6 +1,7 @@
 """Leaked items."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -174,3 +175,19 @@ def test_qgram_hashes_are_those_of_windows():
     a = np.frombuffer(("abcdefghijklmnopqrstuvwxyz" * 2).encode("utf-32-le"), np.uint32)
     h = leakage._qgrams(a)
     assert len(h) == len(a) - leakage.Q + 1 and (h[:26] == h[26 : 26 + len(h) - 26][:26]).all() if len(h) >= 52 else (h[: len(h) - 26] == h[26:]).all()
+
+
+def test_counters_are_laid_out_once_and_slices_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    item = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(400))
+    index = leakage.ItemIndex([(1, item)])
+    hits = 1 << 17  # of 1 << 19 counters
+    at, number = np.arange(hits), np.arange(hits) % len(index.hash)
+    tracemalloc.start()
+    whole = leakage.Scanner(index)._dense(at, number, hits + leakage.Q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * (1 << 19)
+    for name, value in (("SLICE", 10_000), ("COUNTERS", 1 << 12)):
+        monkeypatch.setattr(leakage, name, value)
+        assert all((a == b).all() for a, b in zip(whole, leakage.Scanner(index)._dense(at, number, hits + leakage.Q), strict=True))
