@@ -56,11 +56,14 @@ def repaired(text: str) -> str:
 def folded_codes(text: str) -> np.ndarray:
     """Per character of ``text`` its folded code, DROP or BREAK."""
     cps = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    t = _table()
-    out = t[np.minimum(cps, _TABLE - 1)]
-    high = cps >= _TABLE
-    if high.any():
-        at = np.flatnonzero(high)
+    return folded_points(cps, np.minimum(cps, _TABLE - 1))
+
+
+def folded_points(cps: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The same of code points; ``low`` has them cut to the table."""
+    out = _table()[low]
+    at = np.flatnonzero(cps >= _TABLE)
+    if len(at):
         out[at] = [c if chr(c).isalnum() else BREAK for c in cps[at].tolist()]
     return out
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.folding import BREAK, DROP, folded_codes, repaired
+from millrace.llm.folding import BREAK, DROP, folded_points, repaired
 from millrace.tables import spread, written
 
 #: The commonest words of prose stand for themselves; others are classes.
@@ -55,6 +55,8 @@ _KIND[[ord(c) for c in _PUNCTUATION]] = OTHER + 1 + np.arange(len(_PUNCTUATION))
 _SIGN = {c: OTHER + 1 + i for i, c in enumerate(_PUNCTUATION)}
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
 _CASE = np.array([1 if chr(c).islower() else 2 if chr(c).isupper() else 0 for c in range(0x3000)], np.uint8)
+_STOP = np.zeros(_FIRST, bool)
+_STOP[[LINE, _SIGN["."], _SIGN["!"], _SIGN["?"]]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _kept_powers: list[np.ndarray] = []
@@ -78,11 +80,12 @@ class Tokens:
         joined = "\n".join(whole) + "\n"
         n = len(joined)
         cps = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-        codes = folded_codes(joined)
+        low = np.minimum(cps, 0x2FFF).astype(np.intp)
+        codes = folded_points(cps, low)
         ends = np.cumsum([len(t) + 1 for t in whole])
         letter = codes > DROP
         soft = codes == DROP
-        blank = _SPACE[np.minimum(cps, 0x3000)]
+        blank = _SPACE[low] | (cps >= 0x3000)
         link = np.zeros(n, bool)
         for i, j in self._links(cps, letter, blank):
             link[i:j] = True
@@ -102,8 +105,11 @@ class Tokens:
         # hash of each word: a polynomial in its letters, from running sums of the whole
         with np.errstate(over="ignore"):
             powers, inverse = _powers(n)
-            total = np.cumsum(np.where(letter, codes, 0).astype(np.uint64) * powers[:n])
-            h = (total[last - 1] - np.where(at > 0, total[np.maximum(at - 1, 0)], np.uint64(0))) * inverse[at]
+            total = np.zeros(n + 1, np.uint64)
+            np.multiply(codes, powers[:n], out=total[1:])
+            total[1:][soft] = 0
+            np.cumsum(total, out=total)
+            h = (total[last] - total[at]) * inverse[at]
             h = (h ^ (h >> np.uint64(32))) * _M
         self.hash = h ^ (h >> np.uint64(29))
         first = cps[at]
@@ -114,15 +120,18 @@ class Tokens:
         kind[line[at]] = LINE
         kind[link[at]] = LINK
         self.kind = kind
-        case = _CASE[np.minimum(cps, 0x2FFF)]
-        shift = np.append(False, ((case[:-1] == 1) & (case[1:] == 2)) | ((case[:-1] > 0) & (codes[1:] >= 48) & (codes[1:] <= 57)))
-        shift = np.append(0, np.cumsum(shift))
-        self.odd = is_word & (shift[last] - shift[np.minimum(at + 1, n)] > 0) & ~link[at]
+        case = _CASE[low]
+        shift = np.flatnonzero(((case[:-1] == 1) & (case[1:] == 2)) | ((case[:-1] > 0) & (codes[1:] >= 48) & (codes[1:] <= 57))) + 1
+        within = np.searchsorted(at, shift, side="right") - 1
+        within = within[(within >= 0) & (at[within] < shift)]
+        self.odd = np.zeros(len(at), bool)
+        self.odd[within] = is_word[within] & ~link[at[within]]
         self.glued = np.append(False, ~blank[at[1:] - 1]) if len(at) else np.array([], bool)
-        solid = np.append(0, np.cumsum(~blank))
-        self.size = solid[last] - solid[at]
-        self.solid = np.diff(np.append(0, solid[ends]))
-        self.doc = np.searchsorted(ends, at, side="right")
+        solid = np.zeros(n + 1, np.int32)
+        np.cumsum(~blank, dtype=np.int32, out=solid[1:])
+        self.size = (solid[last] - solid[at]).astype(np.int64)
+        self.solid = np.diff(np.append(0, solid[ends].astype(np.int64)))
+        self.doc = np.repeat(np.arange(len(ends)), np.diff(np.append(0, np.searchsorted(at, ends))))
         soft = self._soft(kind, self.doc, case[at])
         if soft.any():
             # of a word broken there by a hyphen the first piece stands for the whole
@@ -133,7 +142,7 @@ class Tokens:
             soft[line - 1] = soft[line + 1] = True
             self.kind, self.hash, self.odd, self.glued, self.size, self.doc = (x[~soft] for x in (kind, self.hash, self.odd, self.glued, self.size, self.doc))
             kind = self.kind
-        stop = (kind == LINE) | (kind == _SIGN["."]) | (kind == _SIGN["!"]) | (kind == _SIGN["?"])
+        stop = _STOP[kind]
         new = np.append(True, stop[:-1] & ~stop[1:])
         new[1:] |= np.diff(self.doc) > 0
         self.sentence = np.cumsum(new) - 1
@@ -145,8 +154,7 @@ class Tokens:
         """Which line ends break a sentence only for the page's width: behind no line end and no sign that ends a sentence, and before a small letter."""
         out = np.zeros(len(kind), bool)
         if len(kind) > 2:
-            ends = np.isin(kind[:-2], [LINE, _SIGN["."], _SIGN["!"], _SIGN["?"]])
-            out[1:-1] = (kind[1:-1] == LINE) & ~ends & (kind[2:] == WORD) & (case[2:] == 1) & (doc[:-2] == doc[1:-1]) & (doc[2:] == doc[1:-1])
+            out[1:-1] = (kind[1:-1] == LINE) & ~_STOP[kind[:-2]] & (kind[2:] == WORD) & (case[2:] == 1) & (doc[:-2] == doc[1:-1]) & (doc[2:] == doc[1:-1])
         return out
 
     @staticmethod
@@ -182,9 +190,10 @@ class Tokens:
         end = (self.kind == _SIGN["."]) | (self.kind == _SIGN["!"]) | (self.kind == _SIGN["?"])
         ok = (self.per_sentence(word) >= PROSE_WORDS) & (self.per_sentence(end) > 0) & (self.per_sentence(self.kind == LINK) == 0)
         long_ = np.flatnonzero(word & (self.size >= 4) & ok[self.sentence])
-        key = (self.hash[long_] ^ (self.sentence[long_].astype(np.uint64) * _M)) & np.uint64(0xFFFFFFFFFFFFFFFF)
+        key = self.hash[long_] ^ (self.sentence[long_].astype(np.uint64) * _M)
         order = np.argsort(key)
-        again = order[1:][key[order[1:]] == key[order[:-1]]]
+        key = key[order]
+        again = order[1:][key[1:] == key[:-1]]
         ok[self.sentence[long_[again]]] = False
         return ok[self.sentence]
 

@@ -1,6 +1,7 @@
 """Spam pages."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -159,3 +160,24 @@ def test_many_keywords_on_a_long_page():
     assert tags[t.kind == spam.WORD].mean() > 0.95
     t = spam.Tokens([" ".join(f"{w}{i}x" for i, w in enumerate(words))])
     assert not spam.tagged(t, t.classes(vocabulary), np.ones(len(t.kind), bool), vocabulary)[(t.kind == spam.WORD) & ~t.odd].any()
+
+
+def test_tokens_take_few_bytes_a_character():
+    texts = ["abcdefghij" * 100 + " "] * 100
+    spam.Tokens(texts)
+    tracemalloc.start()
+    spam.Tokens(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 46 * 100_000
+
+
+def test_tokens_of_odd_texts():
+    t = spam.Tokens(["iPhone A4 été­x co­op.", "", "aB漢字 \U0001d400b x2 B2B.\nwww.AbC.de/x1 end", "#Tag exam-\nple Go!"])
+    assert t.odd.nonzero()[0].tolist() == [0, 1, 7, 8, 9]
+    assert t.size.tolist() == [6, 2, 5, 5, 1, 0, 0, 3, 2, 3, 1, 0, 13, 3, 0, 1, 3, 8, 2, 1, 0]
+    assert t.solid.tolist() == [19, 0, 25, 15]
+    assert t.doc.tolist() == [0] * 6 + [1] + [2] * 8 + [3] * 6
+    assert t.sentence.tolist() == [0] * 6 + [1] + [2] * 5 + [3] * 3 + [4] * 6
+    empty = spam.Tokens([""])
+    assert (len(empty.kind), empty.solid.tolist(), empty.doc.tolist()) == (1, [0], [0])
